@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from linestrata.llm import sharding
+from linestrata.llm import decontaminate, packing, quality, sharding, tokencount
 
 QUERIES = {
+    "op3_compression_bands": quality.op3_compression_bands,
     "op4_rendezvous_sharding": sharding.op4_rendezvous_sharding,
+    "op7_vector_best_fit": packing.op7_vector_best_fit,
+    "op8_heap_merge_counts": tokencount.op8_heap_merge_counts,
+    "op10_suffix_automaton": decontaminate.op10_suffix_automaton,
 }
 
 ORACLES = {
     "op4_rendezvous_sharding": sharding.ORACLE,
+    "op10_suffix_automaton": decontaminate.ORACLE,
 }
