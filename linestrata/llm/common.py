@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -33,17 +34,36 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]):
     return run
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results that driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (single-machine tests) a folder under the warehouse is used.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset
+    (single-machine tests) a folder inside the warehouse is taken.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back.
+
+    Cuts the lineage: what is lost with an executor is read again, not computed
+    again.  ``drop_stored`` deletes the tables that a session has written.
+    """
+    path = f"{shared_folder(df.sparkSession)}/linestrata-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    _written.append(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the tables of ``stored``; frames built on them can't be used any more."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from linestrata.llm import decontaminate, packing, quality, sharding, tokencount
+from linestrata.llm import decontaminate, packing, quality, sharding, suffixdedup, tokencount
 
 QUERIES = {
     "op3_compression_bands": quality.op3_compression_bands,
     "op4_rendezvous_sharding": sharding.op4_rendezvous_sharding,
     "op7_vector_best_fit": packing.op7_vector_best_fit,
     "op8_heap_merge_counts": tokencount.op8_heap_merge_counts,
+    "op9_suffix_array_dedup": suffixdedup.op9_suffix_array_dedup,
     "op10_suffix_automaton": decontaminate.op10_suffix_automaton,
 }
 
