@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from linestrata.llm import decontaminate, packing, quality, sharding, suffixdedup, tokencount
+from linestrata.llm import decontaminate, packing, quality, sharding, simhash, suffixdedup, tokencount
 
 QUERIES = {
+    "op2_simhash_bktree": simhash.op2_simhash_bktree,
     "op3_compression_bands": quality.op3_compression_bands,
     "op4_rendezvous_sharding": sharding.op4_rendezvous_sharding,
     "op7_vector_best_fit": packing.op7_vector_best_fit,
