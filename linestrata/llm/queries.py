@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from linestrata.llm import decontaminate, packing, quality, sharding, simhash, suffixdedup, tokencount
+from linestrata.llm import decontaminate, linededup, packing, quality, sharding, simhash, suffixdedup, tokencount
 
 QUERIES = {
+    "op1_winnowed_line_dedup": linededup.op1_winnowed_line_dedup,
     "op2_simhash_bktree": simhash.op2_simhash_bktree,
     "op3_compression_bands": quality.op3_compression_bands,
     "op4_rendezvous_sharding": sharding.op4_rendezvous_sharding,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_winnowed_line_dedup": linededup.ORACLE,
     "op4_rendezvous_sharding": sharding.ORACLE,
     "op10_suffix_automaton": decontaminate.ORACLE,
 }
