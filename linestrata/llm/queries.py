@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from linestrata.llm import decontaminate, linededup, packing, quality, sharding, simhash, suffixdedup, tokencount
+from linestrata.llm import chatformat, decontaminate, linededup, packing, quality, sharding, simhash, suffixdedup, tokencount
 
 QUERIES = {
     "op1_winnowed_line_dedup": linededup.op1_winnowed_line_dedup,
     "op2_simhash_bktree": simhash.op2_simhash_bktree,
     "op3_compression_bands": quality.op3_compression_bands,
     "op4_rendezvous_sharding": sharding.op4_rendezvous_sharding,
+    "op5_offset_masks": chatformat.op5_offset_masks,
     "op7_vector_best_fit": packing.op7_vector_best_fit,
     "op8_heap_merge_counts": tokencount.op8_heap_merge_counts,
     "op9_suffix_array_dedup": suffixdedup.op9_suffix_array_dedup,
