@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linestrata.llm import chatformat, decontaminate, linededup, packing, quality, sharding, simhash, suffixdedup, tokencount
+from linestrata.llm import chatformat, decontaminate, linededup, lmscore, packing, quality, sharding, simhash, suffixdedup, tokencount
 
 QUERIES = {
     "op1_winnowed_line_dedup": linededup.op1_winnowed_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_compression_bands": quality.op3_compression_bands,
     "op4_rendezvous_sharding": sharding.op4_rendezvous_sharding,
     "op5_offset_masks": chatformat.op5_offset_masks,
+    "op6_masked_pseudo_likelihood": lmscore.op6_masked_pseudo_likelihood,
     "op7_vector_best_fit": packing.op7_vector_best_fit,
     "op8_heap_merge_counts": tokencount.op8_heap_merge_counts,
     "op9_suffix_array_dedup": suffixdedup.op9_suffix_array_dedup,
