@@ -68,14 +68,15 @@ def fingerprint(body: bytes | None, words_per_shingle: int = WORDS) -> int:
 
 
 def fingerprints(df: DataFrame, words_per_shingle: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the fingerprint as a signed 64-bit number; no shuffle."""
+    """doc_id, salt (a hash of the text) and the fingerprint as a signed 64-bit number; no shuffle."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = [fingerprint(b, words_per_shingle) for b in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "fp"])
+        found = pa.array(np.array(values, np.uint64).view(np.int64))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), found], ["doc_id", "salt", "fp"])
 
-    source = id_and_bytes(df, id_col, text_col)
-    return source.mapInArrow(per_batch(one), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long")
+    source = id_and_bytes(df, id_col, text_col).withColumn("salt", F.xxhash64("body"))
+    return source.mapInArrow(per_batch(one), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, salt long, fp long")
 
 
 # ---------------------------------------------------------------- shards
@@ -247,6 +248,13 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT
     )
 
 
+def _rooted(found: DataFrame, radius: int, shard_limit: int) -> DataFrame:
+    """fp, root: the component of every fingerprint of ``found``."""
+    nodes = stored(found.select("fp").distinct())
+    roots = components(links(nodes, radius, shard_limit))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(
     df: DataFrame,
     words_per_shingle: int = WORDS,
@@ -256,12 +264,10 @@ def near_duplicates(
     text_col: str = "text",
 ) -> DataFrame:
     """doc_id, fingerprint, component_id (smallest doc_id reachable) of every row."""
-    if not 0 <= radius <= 16:
-        raise ValueError("radius: 0 to 16")
+    _check(radius)
     found = stored(fingerprints(df, words_per_shingle, id_col, text_col))
-    nodes = stored(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(nodes.select("fp"), radius, shard_limit))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = found.groupBy(F.col("fp").alias("f")).agg(F.min("doc_id").alias("first"))
+    rooted = _rooted(found, radius, shard_limit).join(least, F.col("fp") == F.col("f"))
     smallest = rooted.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, F.col("root") == F.col("of")).select(F.col("fp").alias("node"), "component_id")
     return found.join(named, F.col("fp") == F.col("node")).select(
@@ -269,5 +275,39 @@ def near_duplicates(
     )
 
 
+def one_of_each(
+    df: DataFrame,
+    words_per_shingle: int = WORDS,
+    radius: int = RADIUS,
+    shard_limit: int = SHARD_LIMIT,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``df`` with one row of every component: that of the smallest id (null ids come last)."""
+    _check(radius)
+    names = df.columns
+    plain = [f"c{i}" for i in range(len(names))]
+    source = df.toDF(*plain)
+    key, text = plain[names.index(id_col)], plain[names.index(text_col)]
+    found = stored(fingerprints(source, words_per_shingle, key, text))
+    rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "salt")
+    least = found.groupBy(F.col("fp").alias("f")).agg(F.min(rank).alias("first"))
+    chosen = (
+        _rooted(found, radius, shard_limit)
+        .join(least, F.col("fp") == F.col("f"))
+        .groupBy("root")
+        .agg(F.min("first").alias("first"))
+        .select(F.col("first.doc_id").alias("kept_id"), F.col("first.salt").alias("kept_salt"))
+    )
+    salted = source.withColumn("salt", F.xxhash64(F.col(text).cast("binary")))
+    kept = salted.join(chosen, F.col(key).eqNullSafe(F.col("kept_id")) & (F.col("salt") == F.col("kept_salt")), "left_semi")
+    return kept.dropDuplicates([key, "salt"]).drop("salt").toDF(*names)
+
+
+def _check(radius: int) -> None:
+    if not 0 <= radius <= 16:
+        raise ValueError("radius: 0 to 16")
+
+
 def op2_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
