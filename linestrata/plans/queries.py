@@ -1,4 +1,314 @@
-"""Registered queries of the line-pattern miner and their SQL counterparts."""
+"""Registered queries of the line-pattern miner, each over a whole table of the test data."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linestrata.functions.words import derive_global, eligible
+from linestrata.operators.report import pattern_text
+from linestrata.operators.tokenize import tokenize
+from linestrata.operators.vocabulary import word_sketch
+from linestrata.plans import oracle as o
+from linestrata.plans.config import MinerConfig
+from linestrata.plans.miner import MiningResult, mine
+from linestrata.sources.text import from_dataframe
+
+# ---------------------------------------------------------------- logs
+
+
+def events_log(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    extra = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("r"), F.col("event_id").cast("string")))
+    line = F.concat_ws(" ", F.lit("event"), "event_type", F.lit("user"), F.col("user_id").cast("string"), extra, F.lit("props"), "props")
+    return from_dataframe(e.select("event_id", line.alias("line")), "line", "event_id")
+
+
+def orders_log(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.read.parquet(f"{d}/orders.parquet")
+    line = F.concat_ws(
+        " ", F.lit("order"), F.col("o_orderkey").cast("string"), F.lit("customer"), F.col("o_custkey").cast("string"), F.lit("status"), "o_orderstatus", "o_orderpriority"
+    )
+    return from_dataframe(t.select("o_orderkey", line.alias("line")), "line", "o_orderkey")
+
+
+def _by_line(df: DataFrame, line_id: Column, prefix: Column | None = None) -> DataFrame:
+    rows = df.select("*", F.posexplode(F.split("text", "\n", -1)).alias("p", "line"))
+    value = F.col("line") if prefix is None else F.concat_ws(" ", prefix, "line")
+    return rows.select((line_id + F.col("p")).alias("line_id"), F.coalesce(value, F.lit("")).alias("value"))
+
+
+def documents_log(spark: SparkSession, d: str) -> DataFrame:
+    return _by_line(spark.read.parquet(f"{d}/documents.parquet"), F.col("doc_id") * 1000000)
+
+
+def conversations_log(spark: SparkSession, d: str) -> DataFrame:
+    return _by_line(spark.read.parquet(f"{d}/conversations.parquet"), F.col("conv_id") * 1000000 + F.col("turn") * 1000, F.col("role"))
+
+
+def pages_log(spark: SparkSession, d: str) -> DataFrame:
+    return from_dataframe(spark.read.parquet(f"{d}/pages.parquet"), "url", "page_id")
+
+
+def padded_log(spark: SparkSession, d: str) -> DataFrame:
+    return events_log(spark, d).withColumn("value", F.concat(F.lit(" "), F.replace("value", F.lit(" user "), F.lit("  user ")), F.lit(" ")))
+
+
+def mixed_log(spark: SparkSession, d: str) -> DataFrame:
+    return events_log(spark, d).unionByName(conversations_log(spark, d).withColumn("line_id", F.col("line_id") + 1000000000))
+
+
+# ---------------------------------------------------------------- shapes of results
+
+PLAIN, ROLLED = 1.1, 1.0  # percent of all lines
+RULE = ("^[0-9]+$", "[0-9]+", "N")
+DERIVE = {"wfilter": RULE[0], "wsearch": RULE[1], "wreplace": RULE[2]}
+FILTER = "event ([a-z]+) user ([0-9]+)"
+
+
+def _tokens(df: DataFrame) -> DataFrame:
+    return df.select("line_id", F.array_join("tokens", "|").alias("tokens"), F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
+def _candidates(df: DataFrame, support: str = "own_support") -> DataFrame:
+    bounds = F.transform(F.concat("gaps", F.array("tail")), lambda g: F.concat_ws("-", g["lo"].cast("string"), g["hi"].cast("string")))
+    return df.select(F.array_join("words", " ").alias("words"), F.array_join(bounds, " ").alias("gaps"), F.col("k").cast("bigint").alias("k"), F.col(support).alias("support"))
+
+
+def _reduced(df: DataFrame) -> DataFrame:
+    return df.where("k > 0").select(
+        "line_id",
+        F.array_join("words", " ").alias("words"),
+        F.array_join(F.transform("gaps", lambda g: g.cast("string")), " ").alias("gaps"),
+        F.col("tail").cast("bigint").alias("tail"),
+    )
+
+
+def _report(m: MiningResult, detail: bool = False) -> DataFrame:
+    alts = F.col("alts") if "alts" in m.final.columns else None
+    return m.final.select(pattern_text(alts, detail).alias("pattern"), "support", F.col("k").cast("bigint").alias("k"))
+
+
+def _weights(m: MiningResult) -> DataFrame:
+    return m.word_weights.select(F.array_join("words", " ").alias("words"), F.col("pos").cast("bigint").alias("pos"), "word", F.round("weight", 6).alias("weight"))
+
+
+def _histogram(m: MiningResult) -> DataFrame:
+    return m.word_histogram.select([F.col(c) for c in m.word_histogram.columns])
+
+
+def flagship(spark: SparkSession, d: str, support: int) -> DataFrame:
+    """Patterns of the events log in report order."""
+    return mine(events_log(spark, d), MinerConfig(support=support)).report
+
+
+# ---------------------------------------------------------------- registry
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str, log: Callable, shape: Callable[[MiningResult], DataFrame], **options) -> None:
+    QUERIES[name] = lambda spark, d: shape(mine(log(spark, d), MinerConfig(**({"rsupport": PLAIN} | options))))
+    ORACLES[name] = sql
+
+
+TOKENS = "SELECT line_id, array_to_string(tokens, '|') AS tokens, len(tokens)::BIGINT AS n_tokens FROM tok"
+by_percent = o.support(PLAIN)
+rolled = o.support(ROLLED)
+
+register("tokenize_default", o.with_(o.tokens(o.EVENTS)) + TOKENS, events_log, lambda m: _tokens(m.tokenized))
+register("tokenize_separator", o.with_(o.tokens(o.PAGES, "[/?&=.]+")) + TOKENS, pages_log, lambda m: _tokens(m.tokenized), separator="[/?&=.]+")
+register("tokenize_leading_sep", o.with_(o.tokens(o.PADDED, " ")) + TOKENS, padded_log, lambda m: _tokens(m.tokenized), separator=" ")
+register("tokenize_cap512", o.with_(o.tokens(o.DOCUMENTS)) + TOKENS, documents_log, lambda m: _tokens(m.tokenized))
+register(
+    "line_filter",
+    o.with_(o.tokens(o.EVENTS, usable="value <> '' AND regexp_matches(value, 'purchase|signup')")) + TOKENS,
+    events_log,
+    lambda m: _tokens(m.tokenized),
+    lfilter="purchase|signup",
+)
+register(
+    "line_template",
+    o.with_(
+        o.tokens(
+            o.EVENTS,
+            text=f"regexp_extract(value, '{FILTER}', 1) || ' by ' || regexp_extract(value, '{FILTER}', 2) || ' ' || '' || ' of ' || value",
+            usable=f"regexp_matches(value, '{FILTER}')",
+        )
+    )
+    + TOKENS,
+    events_log,
+    lambda m: _tokens(m.tokenized),
+    lfilter=FILTER,
+    template="$1 by $2 $9 of $0",
+)
+register(
+    "byte_offset", o.with_(o.tokens(o.EVENTS, text="substr(value, 7)", usable="length(value) > 6")) + TOKENS, events_log, lambda m: _tokens(m.tokenized), byteoffset=6
+)
+register(
+    "line_count_rsupport",
+    o.with_(f"lines AS ({o.EVENTS})", by_percent) + "SELECT count(*) AS lines, any_value(s) AS support FROM lines, s",
+    events_log,
+    lambda m: m.lines.agg(F.count(F.lit(1)).alias("lines")).withColumn("support", F.lit(m.support).cast("bigint")),
+)
+register("vocabulary_df", o.with_(o.tokens(o.EVENTS), o.VOCABULARY) + "SELECT word, df FROM vocab", events_log, lambda m: m.vocabulary)
+register(
+    "vocabulary_derived",
+    o.with_(o.tokens(o.ORDERS), o.derived(*RULE), o.VOCABULARY_DERIVED) + "SELECT word, df FROM vocab",
+    orders_log,
+    lambda m: m.vocabulary,
+    **DERIVE,
+)
+register(
+    "frequent_words",
+    o.with_(o.tokens(o.DOCUMENTS), o.VOCABULARY, o.support(absolute=20), o.FREQUENT) + "SELECT word, df FROM freq",
+    documents_log,
+    lambda m: m.frequent_words,
+    support=20,
+)
+register(
+    "word_freq_histogram",
+    o.with_(o.tokens(o.EVENTS), by_percent, o.VOCABULARY)
+    + "SELECT count(*) AS words, "
+    + ", ".join(f"count(*) FILTER (WHERE df <= {b}) AS df_upto_{b}, floor(count(*) FILTER (WHERE df <= {b}) * 100 / count(*))::BIGINT AS pct_upto_{b}" for b in (1, 2, 5, 10, 20))
+    + ", count(*) FILTER (WHERE df < s) AS infrequent, round(count(*) FILTER (WHERE df < s) * 100 / count(*), 2) AS pct_infrequent FROM vocab, s",
+    events_log,
+    _histogram,
+)
+QUERIES["word_derive"] = lambda spark, d: (
+    tokenize(orders_log(spark, d), MinerConfig(support=1))
+    .select(F.explode("tokens").alias("word"))
+    .distinct()
+    .where(eligible(F.col("word"), "[0-9]-|^[0-9]+$", "[0-9]+"))
+    .select("word", derive_global(F.col("word"), "[0-9]+", "N").alias("derived"))
+)
+ORACLES["word_derive"] = (
+    o.with_(o.tokens(o.ORDERS))
+    + "SELECT DISTINCT word, regexp_replace(word, '[0-9]+', 'N', 'g') AS derived FROM (SELECT unnest(tokens) AS word FROM tok) WHERE regexp_matches(word, '[0-9]-|^[0-9]+$')"
+)
+register(
+    "word_derive_iterative",
+    o.with_(o.tokens(o.ORDERS), o.derived(*RULE)) + "SELECT line_id, array_to_string(list_transform(derived, lambda d: coalesce(d, '-')), '|') AS derived FROM der",
+    orders_log,
+    lambda m: m.tokenized.select("line_id", F.array_join(F.transform("derived", lambda x: F.coalesce(x, F.lit("-"))), "|").alias("derived")),
+    **DERIVE,
+)
+register(
+    "word_sketch",
+    o.with_(o.tokens(o.EVENTS)) + "SELECT count(*) AS occurrences FROM (SELECT unnest(tokens) AS w FROM tok) WHERE w <> ''",
+    events_log,
+    lambda m: word_sketch(m.tokenized, m.config).agg(F.sum("n").alias("occurrences")),
+    word_sketch_size=1000,
+)
+register(
+    "word_sketch_prefilter",
+    o.with_(o.tokens(o.EVENTS), by_percent, o.VOCABULARY, o.FREQUENT) + "SELECT word, df FROM freq",
+    events_log,
+    lambda m: m.frequent_words,
+    word_sketch_size=250_000,
+)
+register(
+    "cluster_sketch_prefilter",
+    o.with_(*o.mining(o.EVENTS, by_percent), o.PLAIN, o.CLUSTERS) + o.CANDIDATE_ROWS.format("support", "clus"),
+    events_log,
+    lambda m: _candidates(m.clusters, "support"),
+    cluster_sketch_size=100_000,
+)
+REDUCED_ROWS = "SELECT line_id, array_to_string(words, ' ') AS words, array_to_string(gaps, ' ') AS gaps, tail::BIGINT AS tail FROM red"
+register("line_reduction", o.with_(*o.mining(o.EVENTS, by_percent)) + REDUCED_ROWS, events_log, lambda m: _reduced(m.reduced))
+register(
+    "line_reduction_derived", o.with_(*o.mining_derived(o.ORDERS, by_percent, RULE)) + REDUCED_ROWS, orders_log, lambda m: _reduced(m.reduced), **DERIVE
+)
+register(
+    "cluster_candidates", o.with_(*o.mining(o.EVENTS, by_percent)) + o.CANDIDATE_ROWS.format("own_support", "cand"), events_log, lambda m: _candidates(m.candidates)
+)
+register(
+    "cluster_candidates_documents",
+    o.with_(*o.mining(o.DOCUMENTS, o.support(absolute=200))) + o.CANDIDATE_ROWS.format("own_support", "cand"),
+    documents_log,
+    lambda m: _candidates(m.candidates),
+    support=200,
+)
+register(
+    "cluster_candidates_derived",
+    o.with_(*o.mining_derived(o.ORDERS, by_percent, RULE)) + o.CANDIDATE_ROWS.format("own_support", "cand"),
+    orders_log,
+    lambda m: _candidates(m.candidates),
+    **DERIVE,
+)
+register("clusters", o.with_(*o.mining(o.EVENTS, by_percent), o.PLAIN, o.CLUSTERS, o.NOT_JOINED, o.rendered()) + o.REPORT, events_log, _report)
+register(
+    "clusters_documents",
+    o.with_(*o.mining(o.DOCUMENTS, o.support(absolute=20)), o.PLAIN, o.CLUSTERS, o.NOT_JOINED, o.rendered()) + o.REPORT,
+    documents_log,
+    _report,
+    support=20,
+)
+register(
+    "clusters_rsupport", o.with_(*o.mining_derived(o.ORDERS, o.support(5.0), RULE), o.PLAIN, o.CLUSTERS, o.NOT_JOINED, o.rendered()) + o.REPORT, orders_log, _report, rsupport=5.0, **DERIVE
+)
+register("clusters_multi_input", o.with_(*o.mining(o.MIXED, o.support(ROLLED)), o.PLAIN, o.CLUSTERS, o.NOT_JOINED, o.rendered()) + o.REPORT, mixed_log, _report, rsupport=ROLLED)
+register(
+    "aggregate_supports",
+    o.with_(*o.mining(o.EVENTS, rolled), o.ROLLUP) + o.CANDIDATE_ROWS.format("support", "rolled"),
+    events_log,
+    lambda m: _candidates(m.rolled, "support"),
+    rsupport=ROLLED,
+    aggrsup=True,
+)
+register(
+    "clusters_aggrsup", o.with_(*o.mining(o.EVENTS, rolled), o.ROLLUP, o.CLUSTERS, o.NOT_JOINED, o.rendered()) + o.REPORT, events_log, _report, rsupport=ROLLED, aggrsup=True
+)
+JOIN_STEPS = [*o.mining(o.EVENTS, by_percent), o.PLAIN, o.CLUSTERS, o.DEPENDENCY]
+register(
+    "word_dependency",
+    o.with_(*JOIN_STEPS) + "SELECT a, b, round(dep, 6) AS dep FROM dep",
+    events_log,
+    lambda m: m.dependencies.select("a", "b", F.round("dep", 6).alias("dep")),
+)
+register("word_weight_f1", o.with_(*JOIN_STEPS, o.weights(1)) + o.WEIGHT_ROWS, events_log, _weights)
+register("word_weight_f2", o.with_(*JOIN_STEPS, o.weights(2)) + o.WEIGHT_ROWS, events_log, _weights, weightf=2)
+register("join_clusters", o.with_(*JOIN_STEPS, o.weights(1), o.joined(0.5), o.rendered()) + o.REPORT, events_log, _report, wweight=0.5)
+register("join_clusters_f2", o.with_(*JOIN_STEPS, o.weights(2), o.joined(0.4), o.rendered()) + o.REPORT, events_log, _report, wweight=0.4, weightf=2)
+register(
+    "join_with_aggrsup",
+    o.with_(*o.mining(o.EVENTS, rolled), o.ROLLUP, o.CLUSTERS, o.DEPENDENCY, o.weights(1), o.joined(0.5), o.rendered()) + o.REPORT,
+    events_log,
+    _report,
+    rsupport=ROLLED,
+    aggrsup=True,
+    wweight=0.5,
+)
+GROUPED = "SELECT pattern, support::BIGINT AS support, format('{:,}', support) AS support_fmt, k::INTEGER AS k FROM shown"
+register("report_by_support", o.with_(*o.mining(o.EVENTS, by_percent), o.PLAIN, o.CLUSTERS, o.NOT_JOINED, o.rendered()) + GROUPED, events_log, lambda m: m.report)
+register(
+    "report_by_constants", o.with_(*JOIN_STEPS, o.weights(1), o.joined(0.5), o.rendered()) + GROUPED, events_log, lambda m: m.report, outputmode=1, wweight=0.5
+)
+register(
+    "report_detailtoken", o.with_(*JOIN_STEPS, o.weights(1), o.joined(0.99), o.rendered(True)) + GROUPED, events_log, lambda m: m.report, wweight=0.99, detailtoken=True
+)
+OUTLIERS = "SELECT line_id, value FROM lines WHERE line_id NOT IN (SELECT line_id FROM red JOIN clus USING (words))"
+register("outliers", o.with_(*o.mining(o.EVENTS, by_percent), o.PLAIN, o.CLUSTERS) + OUTLIERS, events_log, lambda m: m.outliers)
+register("outliers_documents", o.with_(*o.mining(o.DOCUMENTS, o.support(absolute=20)), o.PLAIN, o.CLUSTERS) + OUTLIERS, documents_log, lambda m: m.outliers, support=20)
+register("outliers_aggrsup", o.with_(*o.mining(o.EVENTS, rolled), o.ROLLUP, o.CLUSTERS) + OUTLIERS, events_log, lambda m: m.outliers, rsupport=ROLLED, aggrsup=True)
+# derived forms make the patterns, but a line is held against them by its original words
+register(
+    "outliers_wfilter",
+    o.with_(*o.mining_derived(o.ORDERS, by_percent, RULE), o.PLAIN, o.CLUSTERS)
+    + "SELECT line_id, value FROM lines WHERE line_id NOT IN (SELECT l.line_id FROM (SELECT line_id, list(t ORDER BY p) AS words FROM placed JOIN freq ON t = word WHERE t <> '' GROUP BY line_id) l JOIN clus ON l.words = clus.words)",
+    orders_log,
+    lambda m: m.outliers,
+    **DERIVE,
+)
+register(
+    "outliers_use_derived",
+    o.with_(*o.mining_derived(o.ORDERS, o.support(6.7), RULE), o.PLAIN, o.CLUSTERS) + OUTLIERS,
+    orders_log,
+    lambda m: m.outliers,
+    rsupport=6.7,
+    outliers_use_derived=True,
+    **DERIVE,
+)
