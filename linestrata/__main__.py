@@ -10,6 +10,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from linestrata import __version__
+from linestrata.functions.facilities import facility_number
 from linestrata.operators.report import report_lines
 from linestrata.plans.config import DEFAULT_SEPARATOR, ConfigError, MinerConfig
 from linestrata.plans.miner import mine
@@ -77,8 +78,7 @@ def set_up_log(syslog: str | None) -> None:
     logging.basicConfig(stream=sys.stderr, level=logging.WARNING, format="%(asctime)s %(message)s")
     log.setLevel(logging.INFO)
     if syslog:
-        names = logging.handlers.SysLogHandler.facility_names
-        facility = names.get(syslog.lower())
+        facility = facility_number(syslog)
         if facility is None:
             raise ConfigError(f"unknown syslog facility {syslog}")
         try:

@@ -36,3 +36,20 @@ def test_command_line_errors(capsys):
     assert main(["--input=x"]) == 1
     assert main(["--input=x", "--support=3", "--syslog=nosuch"]) == 1
     assert "support" in capsys.readouterr().err
+
+
+def test_facilities():
+    from linestrata.functions.facilities import FACILITIES, facility_number
+
+    assert len(FACILITIES) == 23
+    assert facility_number("KERN") == 0 and facility_number("local7") == 23
+    assert facility_number("ntp") == facility_number("log_alert") == facility_number("local2") == 18
+    assert facility_number("nosuch") is None
+
+
+def test_defaults():
+    from linestrata.plans.config import DEFAULT_SEPARATOR, MAX_TOKENS
+
+    a = to_config(parser().parse_args(["--input=x", "--input=y", "-s", "-7", "--outputmode", "--weightf=2"]))
+    assert (a.inputs, a.support, a.separator, a.outputmode, a.weightf) == (("x", "y"), 7, DEFAULT_SEPARATOR, 1, 2)
+    assert MAX_TOKENS == 512
