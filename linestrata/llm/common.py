@@ -23,13 +23,13 @@ def id_and_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
 
 
-def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]):
-    """Wrap a batch -> batch function for ``mapInArrow``."""
+def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 1024):
+    """Wrap a batch -> batch function for ``mapInArrow``; it gets ``rows`` rows at most at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for i in range(0, batch.num_rows, rows):
+                yield fn(batch.slice(i, rows))
 
     return run
 

@@ -37,7 +37,7 @@ from linestrata.llm.common import id_and_bytes, per_batch, table
 
 END = 2
 #: Entries of a worker's cache of encoded words (about 200 bytes each); it is emptied when full.
-CACHE = 700_000
+CACHE = 250_000
 LONG = 64
 SPECIAL = "<|endoftext|>"
 

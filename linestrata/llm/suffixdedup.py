@@ -187,7 +187,7 @@ def _find_contexts(length: int, gram: int):
             ["bucket", "digest", "doc_id", "salt", "place", "sure"],
         )
 
-    return per_batch(one)
+    return per_batch(one, rows=1 << 16)  # copies inside a batch don't travel
 
 
 def _sortable(ids: pa.Array) -> list[np.ndarray]:
@@ -372,7 +372,7 @@ def _fetch(length: int):
         ids, salts, bodies, wanted = batch.columns
         at, bucket, place, body = [], [], [], []
         bounds = wanted.offsets.to_pylist()
-        flat = wanted.values
+        flat = wanted.values  # of the whole batch; the offsets of a slice point into it
         buckets, places, large = (flat.field(k).to_pylist() for k in range(3))
         for i, text in enumerate(bodies.to_pylist()):
             for k in range(bounds[i], bounds[i + 1]):
