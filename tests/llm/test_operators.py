@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from conftest import DATA, duck, rows_of
 
-from linestrata.llm import chatformat, decontaminate, linededup, lmscore, packing, quality, queries, sharding, simhash, suffixdedup, tokencount
+from linestrata.llm import chatformat, decontaminate, linededup, lmscore, packing, quality, queries, sharding, simhash, similar, suffixdedup, tokencount
 
 SF = "sf0.001"
 #: Columns whose names operators use for themselves.
@@ -157,6 +157,35 @@ def test_shards_hold_every_near_pair(spark):
     assert all((a, b) in together for a in values for b in values if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3)
 
 
+@pytest.mark.parametrize("limit", [1024, 8])
+def test_similar_documents(spark, limit):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7))) for _ in range(2000)]
+    rows, group = [], []
+    for g in range(60):  # copies with one word in a hundred changed, against nothing in common
+        base = [rnd.choice(words) for _ in range(200)]
+        for _ in range(40 if g == 0 else rnd.choice([1, 2, 4])):
+            t = list(base)
+            t[rnd.randrange(200)] = "changed"
+            rows.append((len(rows), " ".join(t)))
+            group.append(g)
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, " \n"), (len(rows) + 3, "few words"), (len(rows) + 4, "Few  WORDS"), (None, rows[0][1]), rows[3]]
+    df = spark.createDataFrame([(*r, "?") for r in rows], "doc_id long, text string, sketch string").repartition(3)
+    out = similar.one_of_each(df, shard_limit=limit)
+    want = [group.index(g) for g in range(60)] + [len(group), len(group) + 3]
+    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == sorted(want)
+
+
+def test_similarity_estimate():
+    rnd = np.random.default_rng(1)
+    for share in (0.5, 0.8, 0.95):
+        a = np.unique(rnd.integers(0, 2**64, 3000, dtype=np.uint64))
+        n = int(len(a) * 2 * share / (1 + share))
+        b = np.unique(np.concatenate([a[rnd.permutation(len(a))[:n]], rnd.integers(0, 2**64, len(a) - n, dtype=np.uint64)]))
+        sa, sb = (np.frombuffer(similar.sketch(x), np.uint8) for x in (a, b))
+        assert abs(similar.estimate(sa, sb) - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < 0.08
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -482,6 +511,7 @@ def test_empty_tables(spark, empty):
         linededup.without_repeated_runs(empty),
         simhash.near_duplicates(empty),
         simhash.one_of_each(empty),
+        similar.one_of_each(empty),
         quality.compression_bands(empty),
         quality.keep_good(empty),
         sharding.assign_shards(empty, [1.0, 1.0]),
