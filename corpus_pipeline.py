@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linestrata.llm import decontaminate, linededup, packing, quality, simhash
+from linestrata.llm import decontaminate, linededup, packing, quality, similar
 from linestrata.llm.common import shared_folder, table
 
 
@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return similar.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
