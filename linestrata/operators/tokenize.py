@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linestrata.functions.binding import let
 from linestrata.functions.template import apply_template
 from linestrata.plans.config import MAX_TOKENS, MinerConfig
 
@@ -22,9 +23,12 @@ def split_line(line: Column, separator: str, cap: int = MAX_TOKENS) -> Column:
     A separator at the start gives an empty first token, one at the end gives
     none, neighbouring ones give empty tokens between them.
     """
-    parts = F.split(line, separator)
-    parts = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.slice(parts, 1, cap)
+
+    def kept(parts: Column) -> Column:
+        n = F.size(parts) - F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+        return F.slice(parts, 1, F.least(n, F.lit(cap)))
+
+    return let(F.split(line, separator), kept)
 
 
 def prepared(line: Column, config: MinerConfig) -> Column:
@@ -42,8 +46,8 @@ def prepared(line: Column, config: MinerConfig) -> Column:
 
 
 def tokens_of(line: Column, config: MinerConfig) -> Column:
-    text = prepared(line, config)
-    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(split_line(text, config.separator))
+    none = F.array().cast("array<string>")
+    return let(prepared(line, config), lambda text: F.when(text.isNull(), none).otherwise(split_line(text, config.separator)))
 
 
 def tokenize(lines: DataFrame, config: MinerConfig) -> DataFrame:

@@ -138,6 +138,8 @@ class MiningResult:
         if self.config.wweight > 0:
             row = self.final.where("is_joined").agg(F.coalesce(F.sum("n_inputs"), F.lit(0)), F.count(F.lit(1))).first()
             found |= {"joined_inputs": row[0], "joined_outputs": row[1]}
+        if self.config.outliers:
+            found["outliers"] = self.outliers.count()
         return found
 
 
