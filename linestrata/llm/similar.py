@@ -48,7 +48,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, SLOTS = 8, 512
 #: Bits: nearly all pairs of the least similarity are within it, unrelated ones are at 32 +- 4.
 RADIUS = 18
-SHARD_LIMIT = 1024
+SHARD_LIMIT = 512
 
 _rng = np.random.default_rng(52)
 _FACTORS = _rng.integers(0, 1 << 63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,11 +94,11 @@ def sketch(hashes: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sketches, corrected for bytes that agree by chance."""
-    either = int(((a > 0) | (b > 0)).sum())
-    agree = int(((a == b) & (a > 0)).sum())
-    return (agree / either - 1 / 255) / (1 - 1 / 255) if either else 1.0
+def estimates(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Similarity of a sketch to each row of ``others``, corrected for bytes that agree by chance."""
+    agree = ((others == one) & (one > 0)).sum(1)
+    either = np.maximum(((others > 0) | (one > 0)).sum(1), 1)
+    return (agree / either - 1 / 255) / (1 - 1 / 255)
 
 
 class _Linker:
@@ -107,7 +107,7 @@ class _Linker:
     def __init__(self, radius: int, similarity: float):
         self.tree, self.similarity = BKTree(radius), similarity
         self.nodes: list[int] = []
-        self.sketches: list[np.ndarray] = []
+        self.sketches = np.empty((4, SLOTS), np.uint8)
         self.parent: list[int] = []
 
     def root(self, i: int) -> int:
@@ -117,16 +117,22 @@ class _Linker:
         return i
 
     def _link(self, i: int, near: list[int]) -> None:
-        for j in near:
-            a, b = self.root(i), self.root(j)
-            if a != b and estimate(self.sketches[i], self.sketches[j]) >= self.similarity:
+        own = self.root(i)
+        apart = [j for j in near if self.root(j) != own]
+        if apart:
+            alike = estimates(self.sketches[i], self.sketches[apart]) >= self.similarity
+            for j in np.array(apart)[alike].tolist():
+                a, b = self.root(i), self.root(j)
                 self.parent[max(a, b)] = min(a, b)
 
     def _put(self, node: int, sketch_: bytes) -> int:
+        i = len(self.nodes)
+        if i == len(self.sketches):
+            self.sketches = np.concatenate([self.sketches, np.empty_like(self.sketches)])
+        self.sketches[i] = np.frombuffer(sketch_, np.uint8)
         self.nodes.append(node)
-        self.sketches.append(np.frombuffer(sketch_, np.uint8))
-        self.parent.append(len(self.parent))
-        return len(self.parent) - 1
+        self.parent.append(i)
+        return i
 
     def add(self, node: int, fp: int, sketch_: bytes) -> None:
         i = self._put(node, sketch_)
@@ -146,7 +152,7 @@ class _Linker:
         i = self._put(node, sketch_)
         self._link(i, self.tree.search(fp))
         if self.root(i) == i:  # nothing found: no need to keep it
-            self.nodes.pop(), self.sketches.pop(), self.parent.pop()
+            self.nodes.pop(), self.parent.pop()
 
     def edges(self) -> list[tuple[int, int]]:
         return [(self.nodes[i], self.nodes[r]) for i in range(len(self.nodes)) if (r := self.root(i)) != i]

@@ -183,7 +183,7 @@ def test_similarity_estimate():
         n = int(len(a) * 2 * share / (1 + share))
         b = np.unique(np.concatenate([a[rnd.permutation(len(a))[:n]], rnd.integers(0, 2**64, len(a) - n, dtype=np.uint64)]))
         sa, sb = (np.frombuffer(similar.sketch(x), np.uint8) for x in (a, b))
-        assert abs(similar.estimate(sa, sb) - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < 0.08
+        assert abs(similar.estimates(sa, sb[None])[0] - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < 0.08
 
 
 # ---------------------------------------------------------------- 3
