@@ -3,12 +3,15 @@
 The network predicts a word from ``SIDE`` words on either side: their embeddings,
 scaled by place, are added and squashed; the word's class (64 of them) and its
 place in the class (64) are two softmaxes.  A document's score is the sum of the
-log-probabilities of all its words, each given both sides.
+log-probabilities of all its words, each given both sides.  A word that isn't a
+number of its own is predicted as its hash bucket, times its share of the bucket.
 
 Training sees the whole collection:
 
 1.  Words are counted over all documents.  The most frequent ones are the
-    vocabulary, a model parameter; other words fall into hash buckets.
+    vocabulary, a model parameter; other words fall into hash buckets.  The counts
+    of all words stay a stored table, which the words of a text outside the
+    vocabulary meet by a join; so two words of a bucket have their own scores.
 2.  The model starts as the unigram model of those counts.
 3.  In each round every task runs masked minibatch steps (Adagrad, in numpy) over
     its part of the documents, a quarter of the positions being masked, and sends
@@ -16,12 +19,13 @@ Training sees the whole collection:
     aggregate per parameter, so that no task and not the driver sees more than
     one model at a time.  Every document belongs to exactly one round.
 
-Only the model (about 75,000 numbers, whatever the input) is collected and
-broadcast.  A lost task is trained again from the same model and rows.
+Only the model (about 75,000 numbers, whatever the input) and the sizes of the
+buckets are collected and broadcast.  A lost task is trained again from the same model and rows.
 
 Defined results
     * null, empty and blank text has no words: score 0 and no mean;
     * whole texts are trained on and scored, in slices of bounded memory;
+    * a bucket keeps the mass of half an occurrence for words that were never counted;
     * repeated rows get the same score, one row per input row; ids may be null;
     * an empty table gives an empty result; other columns are not read.
 """
@@ -31,9 +35,11 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +65,8 @@ SHAPES = {
     "place_bias": (CLASSES, PLACES),
 }
 STEP = 0.05
+#: Occurrences that a bucket has for words that weren't counted; the unigram model adds as many to each number.
+UNSEEN = 0.5
 ONES = np.ones(64, np.float32)
 
 
@@ -78,7 +86,7 @@ class Model:
         a["scale"] += 1
         a["to_class"] = rng.normal(0, 0.1, SHAPES["to_class"]).astype(np.float32)
         a["to_place"] = rng.normal(0, 0.1, SHAPES["to_place"]).astype(np.float32)
-        mass = counts.reshape(CLASSES, PLACES).astype(np.float64) + 0.5
+        mass = counts.reshape(CLASSES, PLACES).astype(np.float64) + UNSEEN
         a["class_bias"] = np.log(mass.sum(1) / mass.sum()).astype(np.float32)
         a["place_bias"] = np.log(mass / mass.sum(1, keepdims=True)).astype(np.float32)
         return cls(a)
@@ -162,7 +170,14 @@ class Model:
 
 
 class Vocabulary(dict):
-    """word -> number; words that aren't known get the number of a hash bucket."""
+    """word -> number; words that aren't known get the number of a hash bucket.
+
+    ``counted`` (word, n) has all words; ``spread`` has by number the logarithm of what
+    the words of a bucket share, and 0 for known words.
+    """
+
+    counted: DataFrame
+    spread: np.ndarray
 
     def __missing__(self, word: bytes) -> int:
         return KNOWN + zlib.crc32(word) % (SIZE - KNOWN)
@@ -221,6 +236,8 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Model]:
         counts[KNOWN + r["b"]] = r["n"]
     for r in top:
         counts[KNOWN + zlib.crc32(bytes(r["word"])) % (SIZE - KNOWN)] -= r["n"]
+    vocabulary.counted = counted
+    vocabulary.spread = np.where(np.arange(SIZE) < KNOWN, 0.0, np.log(counts + UNSEEN))
     model = Model.unigram(counts)
     sc = docs.sparkSession.sparkContext
     for k in range(rounds):
@@ -262,31 +279,48 @@ def _train(sent):
 
 
 def score(df: DataFrame, vocabulary: Vocabulary, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, log_prob (sum over all words), mean_log_prob of every row; no shuffle."""
+    """doc_id, n_tokens, log_prob (sum over all words), mean_log_prob of every row.
+
+    The network scores texts where they are; the words outside the vocabulary are then
+    shuffled, to meet their counts.
+    """
     source = id_and_bytes(df, id_col, text_col)
-    sent = df.sparkSession.sparkContext.broadcast((dict(vocabulary), model.flatten()))
+    sent = df.sparkSession.sparkContext.broadcast((dict(vocabulary), vocabulary.spread, model.flatten()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, flat = sent.value
+        known, spread, flat = sent.value
         words, net = Vocabulary(known), Model.unflatten(flat)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            bodies = batch.column(1).to_pylist()
-            if not bodies:
-                continue
-            sizes, sums = [], []
-            for i in range(0, len(bodies), 512):
-                sequence, at, n = windows(bodies[i : i + 512], words)
-                parts = [net.log_probs(a, t) for a, t in slices(sequence, at)]
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                bodies = part.column(1).to_pylist()
+                sequence, at, n = windows(bodies, words)
+                parts = [net.log_probs(a, t) - spread[t] for a, t in slices(sequence, at)]
                 total = np.concatenate([[0.0], np.cumsum(np.concatenate(parts), dtype=np.float64)]) if parts else np.zeros(1)
                 ends = np.cumsum(n)
-                sizes.append(n)
-                sums.append(total[ends] - total[ends - n])
-            n, s = np.concatenate(sizes), np.concatenate(sums)
-            mean = pa.array(s / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(s), mean], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+                rare = [[w for w in words_of(body) if w not in known] for body in bodies]
+                heads = np.cumsum([0, *map(len, rare)])
+                rare = pa.ListArray.from_arrays(pa.array(heads, pa.int32()), pa.array(chain.from_iterable(rare), pa.binary()))
+                rows = pa.array(np.arange(row, row + len(n)))
+                row += len(n)
+                yield pa.RecordBatch.from_arrays([rows, part.column(0), pa.array(n), pa.array(total[ends] - total[ends - n]), rare], ["row", "doc_id", "n_tokens", "net", "rare"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double")
+    # stored, as the numbers of rows hold for one run only
+    scored = stored(source.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, net double, rare array<binary>"))
+    shares = (
+        scored.select(F.col("row").alias("of"), F.explode("rare").alias("w"))
+        .join(vocabulary.counted, F.col("w") == F.col("word"), "left")
+        .groupBy("of")
+        .agg(F.sum(F.log(F.coalesce("n", F.lit(UNSEEN)))).alias("share"))
+    )
+    total = F.col("net") + F.coalesce("share", F.lit(0.0))
+    return (
+        scored.select("row", "doc_id", "n_tokens", "net")
+        .join(shares, F.col("row") == F.col("of"), "left")
+        .select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))
+    )
 
 
 def pseudo_likelihood(df: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -318,6 +318,24 @@ def test_language_model_sums_to_one():
     assert np.exp(model.log_probs(around, np.arange(lmscore.SIZE))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_language_model_words_of_a_bucket(spark):
+    bucket = lambda w: zlib.crc32(w.encode()) % (lmscore.SIZE - lmscore.KNOWN)
+    twice, once, unseen = [w for w in (f"rare{i}" for i in range(20_000)) if bucket(w) == 7][:3]
+    often = " ".join(f"w{i}" for i in range(lmscore.KNOWN))
+    rows = [(0, often), (1, often), (2, often), (3, twice), (4, twice), (5, once), (6, "w1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    vocabulary, model = lmscore.fit(lmscore.id_and_bytes(df))
+    new = spark.createDataFrame([(3, twice), (5, once), (7, unseen), (8, f"{once}  {once}"), (9, "w1")], "doc_id long, text string")
+    got = {r["doc_id"]: r["log_prob"] for r in lmscore.score(new, vocabulary, model).collect()}
+    assert got[3] - got[5] == pytest.approx(np.log(2)) and got[5] - got[7] == pytest.approx(np.log(2))
+    around = np.full((1, 4), lmscore.PAD)
+    alone = model.log_probs(around, np.array([lmscore.KNOWN + 7]))[0]
+    assert got[5] == pytest.approx(alone + np.log(1 / 3.5), abs=1e-5)
+    assert got[9] == pytest.approx(model.log_probs(around, np.array([vocabulary[b"w1"]]))[0], abs=1e-5)
+    every = {r["doc_id"]: r["log_prob"] for r in lmscore.pseudo_likelihood(df).collect()}
+    assert every[3] == pytest.approx(every[4]) and every[3] - every[5] == pytest.approx(np.log(2))
+
+
 def test_language_model_rows(docs, rows, empty):
     got = lmscore.pseudo_likelihood(docs).collect()
     assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((i, len(encoded(t).split())) for i, t in rows)
