@@ -13,9 +13,9 @@ Training sees the whole collection:
     of all words stay a stored table, which the words of a text outside the
     vocabulary meet by a join; so two words of a bucket have their own scores.
 2.  The model starts as the unigram model of those counts.
-3.  In each round every task runs masked minibatch steps (Adagrad, in numpy) over
-    its part of the documents, a quarter of the positions being masked, and sends
-    back its parameters.  They are averaged, weighted by words, with a partial
+3.  In each round every task runs minibatch steps (Adagrad, in numpy) over its
+    part of the documents and sends back its parameters.  Every position is a
+    target once: a word isn't in its own window, so each is masked for itself.  They are averaged, weighted by words, with a partial
     aggregate per parameter, so that no task and not the driver sees more than
     one model at a time.  Every document belongs to exactly one round.
 
@@ -154,7 +154,7 @@ class Model:
             ("place_bias", group, p2),
             ("embed", around.ravel(), (dh[:, None, :] * self.scale).reshape(-1, DIM)),
         ):
-            order = np.argsort(ids, kind="stable")
+            order = np.argsort(ids.astype(np.int16), kind="stable")  # of 16 bits: a radix sort
             ids = ids[order]
             heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
             part = np.add.reduceat(values[order], heads, axis=0)
@@ -266,10 +266,8 @@ def _train(sent):
             bodies = batch.column(0).to_pylist()
             for i in range(0, len(bodies), 512):
                 sequence, at, _ = windows(bodies[i : i + 512], vocabulary)
-                # masked: a quarter of the positions, spread by a multiplicative hash
-                masked = at[((at * 2654435761 >> 7) & 3) == 0]
                 seen += len(at)
-                for around, target in slices(sequence, masked):
+                for around, target in slices(sequence, at):
                     model.step(around, target, memory)
         if seen:
             out = np.append(model.flatten().astype(np.float64) * seen, float(seen))

@@ -5,8 +5,10 @@ import random
 import zlib
 from array import array
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import DATA, duck, rows_of
@@ -336,6 +338,16 @@ def test_language_model_words_of_a_bucket(spark):
     assert every[3] == pytest.approx(every[4]) and every[3] - every[5] == pytest.approx(np.log(2))
 
 
+def test_language_model_trains_on_every_word(rows, monkeypatch):
+    trained = Counter()
+    monkeypatch.setattr(lmscore.Model, "step", lambda self, around, target, memory: trained.update(target.tolist()))
+    known = {w: i for i, w in enumerate(sorted({w for _, t in rows for w in lmscore.words_of(encoded(t))})[: lmscore.KNOWN])}
+    sent = SimpleNamespace(value=(known, lmscore.Model.unigram(np.ones(lmscore.SIZE)).flatten()))
+    list(lmscore._train(sent)(iter([pa.RecordBatch.from_pydict({"body": [encoded(t) for _, t in rows]})])))
+    vocabulary = lmscore.Vocabulary(known)
+    assert trained == Counter(vocabulary[w] for _, t in rows for w in lmscore.words_of(encoded(t)))
+
+
 def test_language_model_rows(docs, rows, empty):
     got = lmscore.pseudo_likelihood(docs).collect()
     assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((i, len(encoded(t).split())) for i, t in rows)
