@@ -10,9 +10,10 @@ blocks of bits, so shards are made of content:
     under two hash functions.  Documents of the least similarity share one with
     a probability of 0.9997.  Equal shingle sets are one node.
 2.  The nodes of a key form a shard with a BK-tree over their fingerprints.  The
-    nodes within the radius are candidates; a candidate is linked if the
-    similarity estimated from sketches (512 slots, standard error 0.018) reaches
-    the threshold.  Nodes met while the tree grows are linked at once; only
+    nodes within the radius are candidates.  Sketches (512 slots, standard error
+    0.018) skip those that are ``MARGIN`` and more below the threshold; all others
+    are linked by the exact similarity of their shingle sets, which are made again
+    from the texts of those nodes that share a key.  Nodes met while the tree grows are linked at once; only
     nodes outside the largest linked set search the tree.
 3.  A shard over ``shard_limit`` nodes becomes several trees.  When components are
     known, the nodes outside its largest one search all its trees; those inside
@@ -47,7 +48,9 @@ from linestrata.llm.simhash import SEED, SLICE, BKTree
 WORDS, SIMILARITY = 5, 0.8
 BANDS, SLOTS = 8, 512
 #: Bits: nearly all pairs of the least similarity are within it, unrelated ones are at 32 +- 4.
-RADIUS = 18
+RADIUS = 24
+#: By how much an estimate must be below the threshold to decide: over five standard errors.
+MARGIN = 0.1
 SHARD_LIMIT = 512
 
 _rng = np.random.default_rng(52)
@@ -101,6 +104,14 @@ def estimates(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return (agree / either - 1 / 255) / (1 - 1 / 255)
 
 
+def alike(one: np.ndarray, other: np.ndarray, similarity: float) -> bool:
+    """Whether two shingle sets have this Jaccard similarity or more."""
+    if min(len(one), len(other)) < similarity * max(len(one), len(other)) - 1e-9:
+        return False
+    common = len(np.intersect1d(one, other, assume_unique=True))
+    return common >= similarity * (len(one) + len(other) - common) - 1e-9
+
+
 class _Linker:
     """A BK-tree whose nodes are linked by verified similarity."""
 
@@ -108,6 +119,7 @@ class _Linker:
         self.tree, self.similarity = BKTree(radius), similarity
         self.nodes: list[int] = []
         self.sketches = np.empty((4, SLOTS), np.uint8)
+        self.sets: list[np.ndarray] = []
         self.parent: list[int] = []
 
     def root(self, i: int) -> int:
@@ -120,22 +132,25 @@ class _Linker:
         own = self.root(i)
         apart = [j for j in near if self.root(j) != own]
         if apart:
-            alike = estimates(self.sketches[i], self.sketches[apart]) >= self.similarity
-            for j in np.array(apart)[alike].tolist():
+            about = estimates(self.sketches[i], self.sketches[apart])
+            order = np.argsort(-about, kind="stable")
+            for j in np.array(apart)[order[about[order] > self.similarity - MARGIN]].tolist():
                 a, b = self.root(i), self.root(j)
-                self.parent[max(a, b)] = min(a, b)
+                if a != b and alike(self.sets[i], self.sets[j], self.similarity):
+                    self.parent[max(a, b)] = min(a, b)
 
-    def _put(self, node: int, sketch_: bytes) -> int:
+    def _put(self, node: int, sketch_: bytes, shingles: bytes) -> int:
         i = len(self.nodes)
         if i == len(self.sketches):
             self.sketches = np.concatenate([self.sketches, np.empty_like(self.sketches)])
         self.sketches[i] = np.frombuffer(sketch_, np.uint8)
+        self.sets.append(np.frombuffer(shingles, np.uint64))
         self.nodes.append(node)
         self.parent.append(i)
         return i
 
-    def add(self, node: int, fp: int, sketch_: bytes) -> None:
-        i = self._put(node, sketch_)
+    def add(self, node: int, fp: int, sketch_: bytes, shingles: bytes) -> None:
+        i = self._put(node, sketch_, shingles)
         self._link(i, self.tree.add(fp))
 
     def close(self) -> None:
@@ -147,12 +162,12 @@ class _Linker:
                 if r != largest:
                     self._link(i, self.tree.search(self.tree.values[i]))
 
-    def ask(self, node: int, fp: int, sketch_: bytes) -> None:
+    def ask(self, node: int, fp: int, sketch_: bytes, shingles: bytes) -> None:
         """Link a node that isn't in the tree."""
-        i = self._put(node, sketch_)
+        i = self._put(node, sketch_, shingles)
         self._link(i, self.tree.search(fp))
         if self.root(i) == i:  # nothing found: no need to keep it
-            self.nodes.pop(), self.parent.pop()
+            self.nodes.pop(), self.parent.pop(), self.sets.pop()
 
     def edges(self) -> list[tuple[int, int]]:
         return [(self.nodes[i], self.nodes[r]) for i in range(len(self.nodes)) if (r := self.root(i)) != i]
@@ -170,7 +185,7 @@ def _link_shards(radius: int, similarity: float):
             return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
         for batch in batches:
-            for key, sub, asks, node, fp, sk in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, sub, asks, node, fp, sk, sh in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, sub) != now:
                     if not grown:
                         linker.close()
@@ -179,9 +194,9 @@ def _link_shards(radius: int, similarity: float):
                 fp &= (1 << 64) - 1
                 if asks:
                     grown = True  # the tree has been searched by its own nodes before
-                    linker.ask(node, fp, sk)
+                    linker.ask(node, fp, sk, sh)
                 else:
-                    linker.add(node, fp, sk)
+                    linker.add(node, fp, sk, sh)
             if out:
                 yield batch_of()
         if not grown:
@@ -215,22 +230,39 @@ def _documents(df: DataFrame, words_per_shingle: int, id_col: str, text_col: str
     return source.mapInArrow(per_batch(one), f"doc_id {kind}, salt long, node long, fp long, keys array<long>, sketch binary")
 
 
-def node_components(nodes: DataFrame, radius: int, similarity: float, shard_limit: int) -> DataFrame:
-    """node, root of the nodes that are linked to others; ``nodes`` has node, fp, keys, sketch."""
+def _shingles(texts: DataFrame, words_per_shingle: int) -> DataFrame:
+    """node, shingles of ``texts`` (node, body)."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(body, words_per_shingle).tobytes() for body in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    return texts.select("node", "body").mapInArrow(per_batch(one, 256), "node long, shingles binary")
+
+
+def node_components(nodes: DataFrame, texts: DataFrame, words_per_shingle: int, radius: int, similarity: float, shard_limit: int) -> DataFrame:
+    """node, root of the nodes that are linked to others.
+
+    ``nodes`` has node, fp, keys, sketch, doc_id, salt; ``texts`` has t_id, t_salt, body.
+    """
     link = lambda rows: (
         rows.repartition("key", "sub")
         .sortWithinPartitions("key", "sub", "asks", "node")
-        .select("key", "sub", "asks", "node", "fp", "sketch")
+        .select("key", "sub", "asks", "node", "fp", "sketch", "shingles")
         .mapInArrow(_link_shards(radius, similarity), "a long, b long")
         .distinct()
     )
     rows = nodes.select("node", F.explode("keys").alias("key"))
     sizes = rows.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = rows.join(sizes, F.col("key") == F.col("k")).select("key", "n", F.col("node").alias("s_node"))
+    shared = stored(rows.join(sizes, F.col("key") == F.col("k")).select("key", "n", F.col("node").alias("s_node")))
+    wanted = nodes.join(shared.select("s_node").distinct(), F.col("node") == F.col("s_node"), "left_semi").select("node", "doc_id", "salt")
+    bodies = texts.join(wanted, F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_salt") == F.col("salt")))
+    sets = _shingles(bodies, words_per_shingle).dropDuplicates(["node"]).withColumnRenamed("node", "h_node")
+    whole = stored(nodes.select("node", "fp", "sketch").join(sets, F.col("node") == F.col("h_node")).drop("h_node"))
     trees = F.ceil(F.col("n") / shard_limit)
     met = stored(
-        shared.join(nodes.select("node", "fp", "sketch"), F.col("s_node") == F.col("node")).select(
-            "key", "n", F.pmod(F.xxhash64("key", "node"), trees).alias("sub"), F.lit(False).alias("asks"), "node", "fp", "sketch"
+        shared.join(whole, F.col("s_node") == F.col("node")).select(
+            "key", "n", F.pmod(F.xxhash64("key", "node"), trees).alias("sub"), F.lit(False).alias("asks"), "node", "fp", "sketch", "shingles"
         )
     )
     edges = stored(link(met))
@@ -251,7 +283,7 @@ def node_components(nodes: DataFrame, radius: int, similarity: float, shard_limi
     )
     outside = placed.join(top, F.col("key") == F.col("t_key")).where(F.col("root") != F.col("top"))
     asking = outside.select(
-        "key", "n", F.explode(F.sequence(F.lit(0).cast("long"), trees - 1)).alias("sub"), F.lit(True).alias("asks"), "node", "fp", "sketch", F.col("sub").alias("own")
+        "key", "n", F.explode(F.sequence(F.lit(0).cast("long"), trees - 1)).alias("sub"), F.lit(True).alias("asks"), "node", "fp", "sketch", "shingles", F.col("sub").alias("own")
     ).where("sub <> own")
     more = link(large.unionByName(asking.drop("own")))
     return components(edges.unionByName(more))
@@ -274,7 +306,9 @@ def one_of_each(
     source = df.toDF(*plain)
     key, text = plain[names.index(id_col)], plain[names.index(text_col)]
     found = stored(_documents(source, words_per_shingle, key, text))
-    roots = node_components(found.select("node", "fp", "keys", "sketch").dropDuplicates(["node"]), radius, similarity, shard_limit)
+    nodes = found.select("node", "fp", "keys", "sketch", "doc_id", "salt").dropDuplicates(["node"])
+    texts = source.select(F.col(key).alias("t_id"), F.col(text).cast("binary").alias("body")).withColumn("t_salt", F.xxhash64("body"))
+    roots = node_components(nodes, texts, words_per_shingle, radius, similarity, shard_limit)
     rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "salt")
     least = found.groupBy(F.col("node").alias("l_node")).agg(F.min(rank).alias("first"))
     chosen = (

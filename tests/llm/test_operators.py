@@ -178,6 +178,16 @@ def test_similar_documents(spark, limit):
     assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == sorted(want)
 
 
+def test_similar_documents_at_the_threshold(spark):
+    text = lambda g, n: " ".join(f"g{g}w{k}" for k in range(n + 4))  # noqa: E731  # n shingles
+    rows, want = [], []
+    for g, (n, m) in enumerate([(5, 4), (20, 16), (100, 80), (1000, 800), (100, 79), (1000, 798)] * 10):
+        rows += [(2 * g, text(g, n)), (2 * g + 1, text(g, m))]
+        want += [2 * g] if 10 * m >= 8 * n else [2 * g, 2 * g + 1]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in similar.one_of_each(df).collect()) == want
+
+
 def test_similarity_estimate():
     rnd = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):
