@@ -3,15 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linestrata.functions.regex import to_python
-
-#: Replacements after which a word that never settles is left as it is.
+#: Replacements, and the length of the result, after which a word that never settles is left as it is by then.
 MAX_REPLACEMENTS = 10_000
 MAX_LENGTH = 1_000_000
 
@@ -42,23 +38,6 @@ def derive_global(word: Column, wsearch: str, replacement: str) -> Column:
     return F.regexp_replace(word, F.lit(wsearch), F.lit(replacement.replace("\\", "\\\\").replace("$", "\\$")))
 
 
-def derive_iterative(word: Column, wsearch: str, replacement: str) -> Column:
-    """The exact rule, in Arrow batches; meant for distinct words only."""
-    pattern = to_python(wsearch)
-
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        search = re.compile(pattern)
-        for words in batches:
-            yield words.map(lambda w: None if w is None else replace_repeatedly(w, search, replacement))
-
-    return run(word)
-
-
-def derive(word: Column, wsearch: str, replacement: str, mode: str) -> Column:
-    return derive_global(word, wsearch, replacement) if mode == "global" else derive_iterative(word, wsearch, replacement)
-
-
 def grouped_number(n: Column) -> Column:
     """1234567 -> 1,234,567"""
     return F.format_number(n, 0)

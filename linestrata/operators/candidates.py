@@ -7,17 +7,33 @@ last one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as JvmColumn
 
 from linestrata.operators.vocabulary import sketch_slot
 from linestrata.plans.config import MinerConfig
 
 #: Frequent words up to this number become a hash set inside the expression
-#: (no join, no shuffle); more are joined.
+#: (no join, no shuffle); more are joined.  Both give the same rows.
 INLINE_WORDS = 20_000
 
 
+def is_one_of(words: list[str]) -> Callable[[Column], Column]:
+    """A test for membership of ``words``, which reach the JVM in one call and not one by one."""
+    if not words:
+        return lambda w: F.lit(False)
+    end = "\n"
+    while any(end in w for w in words):
+        end += "\1"
+    jvm = SparkSession.active().sparkContext._jvm
+    cut = jvm.org.apache.commons.lang3.StringUtils.splitByWholeSeparatorPreserveAllTokens(end.join(words), end)
+    listed = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(cut)
+    return lambda w: JvmColumn(w._jc.isin(listed))
+
+
 def _from_constants(df: DataFrame, constants: Column, n_tokens: Column) -> DataFrame:
     """Adds words, gaps, tail, k from an ordered array of (pos, word)."""
     return (
@@ -35,38 +51,47 @@ def reduce_lines(tokenized: DataFrame, frequent: DataFrame, words: list[str] | N
 
     An original word that is frequent wins; else the derived form counts if that
     is.  ``words`` are the frequent words if they are few, else ``frequent`` is
-    joined; its size decides how (AQE).
+    joined; its size decides how.
     """
-    derived = F.col("derived") if use_derived else F.transform("tokens", lambda t: F.lit(None).cast("string"))
-    pairs = F.zip_with("tokens", derived, lambda t, d: F.struct(t.alias("t"), d.alias("d")))
-    kept = [c for c in ("line_id", "value", "multiplicity") if c in tokenized.columns]
-    if words is not None:
-        if not words:
-            words = ["\0"]
-        known = lambda w: w.isin(words)
-
-        def constant(x: Column) -> Column:
-            original = F.when((x["t"] != "") & known(x["t"]), x["t"])
-            if not use_derived:
-                return original
-            return F.coalesce(original, F.when((x["t"] != "") & known(x["d"]), x["d"]))
-
-        placed = F.filter(
-            F.transform(pairs, lambda x, i: F.struct(i.alias("pos"), constant(x).alias("word"))), lambda c: c["word"].isNotNull()
-        )
-        return _from_constants(tokenized.select(*kept, "tokens", *(["derived"] if use_derived else [])), placed, F.size("tokens")).drop("tokens", "derived")
-    rows = tokenized.select(*kept, F.size("tokens").alias("n_tokens"), F.posexplode_outer(pairs).alias("pos", "x"))
-    one = frequent.select(F.col("word").alias("w1"))
-    two = frequent.select(F.col("word").alias("w2"))
-    rows = rows.join(one, (F.col("x.t") == F.col("w1")) & (F.col("x.t") != ""), "left")
+    return _reduced_inline(tokenized, words, use_derived) if words is not None else _reduced_by_join(tokenized, frequent, use_derived)
+
+
+def _reduced_inline(tokenized: DataFrame, words: list[str], use_derived: bool) -> DataFrame:
+    known = is_one_of(words)
     if use_derived:
-        rows = rows.join(two, (F.col("x.d") == F.col("w2")) & F.col("w1").isNull() & (F.col("x.t") != ""), "left")
+        pairs = F.zip_with("tokens", "derived", lambda t, d: F.struct(t.alias("t"), d.alias("d")))
+        constant = lambda x: F.when(x["t"] != "", F.when(known(x["t"]), x["t"]).when(known(x["d"]), x["d"]))
     else:
-        rows = rows.withColumn("w2", F.lit(None).cast("string"))
-    found = F.when(F.coalesce("w1", "w2").isNotNull(), F.struct("pos", F.coalesce("w1", "w2").alias("word")))
+        pairs = F.col("tokens")
+        constant = lambda t: F.when((t != "") & known(t), t)
+    placed = F.filter(F.transform(pairs, lambda x, i: F.struct(i.alias("pos"), constant(x).alias("word"))), lambda c: c["word"].isNotNull())
+    return _from_constants(tokenized, placed, F.size("tokens")).drop("tokens", "derived")
+
+
+def _reduced_by_join(tokenized: DataFrame, frequent: DataFrame, use_derived: bool) -> DataFrame:
+    """Tokens meet the frequent words by a join; what isn't frequent goes before lines are put together.
+
+    A line is told from others by a number made for the run, so equal lines of
+    one id stay apart.  Its text and id travel once, with its first token.
+    """
+    row = F.monotonically_increasing_id()
+    lines = tokenized.select(row.alias("row"), "line_id", "value", F.size("tokens").alias("n"), "tokens", *(["derived"] if use_derived else []))
+    pairs = F.arrays_zip(F.col("tokens").alias("t"), F.col("derived").alias("d")) if use_derived else F.transform("tokens", lambda t: F.struct(t.alias("t")))
+    rows = lines.select("row", "line_id", "value", "n", F.posexplode_outer(pairs).alias("pos", "x"))
+    head = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    rows = rows.select(
+        "row", "pos", head.alias("head"), F.when(head, F.struct("line_id", "value", "n")).alias("line"), F.nullif("x.t", F.lit("")).alias("t"), *(["x.d"] if use_derived else [])
+    ).where("head or t is not null")
+    rows = rows.join(frequent.select(F.col("word").alias("w1")), F.col("t") == F.col("w1"), "left")
+    word = F.col("w1")
+    if use_derived:
+        other = F.when(F.col("w1").isNull() & F.col("t").isNotNull(), F.col("d"))
+        rows = rows.join(frequent.select(F.col("word").alias("w2")), other == F.col("w2"), "left")
+        word = F.coalesce("w1", "w2")
+    rows = rows.select("row", "head", "line", F.when(word.isNotNull(), F.struct("pos", word.alias("word"))).alias("found")).where("head or found is not null")
     # at most as many as a line has tokens
-    lines = rows.groupBy(*kept, "n_tokens").agg(F.array_sort(F.collect_list(found)).alias("found"))
-    return _from_constants(lines, F.col("found"), F.col("n_tokens")).drop("found", "n_tokens")
+    whole = rows.groupBy("row").agg(F.first("line", ignorenulls=True).alias("line"), F.array_sort(F.collect_list("found")).alias("found"))
+    return _from_constants(whole.select("line.*", "found"), F.col("found"), F.col("n")).drop("found", "n")
 
 
 def candidate_sketch(reduced: DataFrame, config: MinerConfig) -> DataFrame:
@@ -78,34 +103,39 @@ def candidate_sketch(reduced: DataFrame, config: MinerConfig) -> DataFrame:
     )
 
 
-def candidates(reduced: DataFrame, config: MinerConfig, support: int) -> DataFrame:
-    """words, k, gaps, tail, own_support, first_seen.
-
-    Lines are first counted by (words, gaps, tail), of which there are few.  The
-    bounds are then aggregated place by place, so a pattern with any number of
-    gap combinations is never collected.
-    """
+def shapes(reduced: DataFrame, config: MinerConfig, support: int) -> DataFrame:
+    """words, bounds (gaps and tail), n, first_seen: lines counted by their sequence and its gaps."""
     rows = reduced.where("k > 0")
     if config.cluster_sketch_size:
         heavy = candidate_sketch(reduced, config).where(F.col("n") >= support).select(F.col("slot").alias("heavy_slot"))
         rows = rows.join(heavy, sketch_slot(F.col("words"), config.cluster_sketch_size, config.initseed) == F.col("heavy_slot"), "left_semi")
-    shapes = rows.groupBy("words", "gaps", "tail").agg(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("first_seen"))
-    places = shapes.select("words", "n", "first_seen", F.posexplode(F.concat("gaps", F.array("tail"))).alias("pos", "gap"))
-    bounds = places.groupBy("words", "pos").agg(
-        F.min("gap").alias("lo"), F.max("gap").alias("hi"), F.sum("n").alias("n"), F.min("first_seen").alias("first_seen")
-    )
-    whole = bounds.groupBy("words").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "lo", "hi"))).alias("b"), F.max("n").alias("own_support"), F.min("first_seen").alias("first_seen")
-    )
+    return rows.groupBy("words", F.concat("gaps", F.array("tail")).alias("bounds")).agg(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("first_seen"))
+
+
+def candidates(shapes: DataFrame) -> DataFrame:
+    """words, k, gaps, tail, own_support, first_seen of every sequence.
+
+    Most sequences have one shape, which is both bounds.  Only the others are
+    taken apart place by place, with partial minima and maxima, so a sequence
+    with any number of gap combinations is never collected.
+    """
     k = F.size("words")
-    return whole.select(
-        "words",
-        k.alias("k"),
-        F.transform(F.slice("b", 1, k), lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"))).alias("gaps"),
-        F.struct(F.element_at("b", -1)["lo"].alias("lo"), F.element_at("b", -1)["hi"].alias("hi")).alias("tail"),
-        "own_support",
-        "first_seen",
+    whole = shapes.groupBy("words").agg(
+        F.sum("n").alias("own_support"), F.min("first_seen").alias("first_seen"), F.min("bounds").alias("least"), F.max("bounds").alias("most")
+    )
+    several = whole.where("least <> most").select(F.col("words").alias("s_words"))
+    bounds = (
+        shapes.join(several, F.col("words") == F.col("s_words"), "left_semi")
+        .select("words", F.posexplode("bounds").alias("pos", "gap"))
+        .groupBy("words", "pos")
+        .agg(F.min("gap").alias("lo"), F.max("gap").alias("hi"))
+        .groupBy(F.col("words").alias("b_words"))
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "lo", "hi"))).alias("b"))
     )
+    one = F.transform("least", lambda g: F.struct(g.alias("lo"), g.alias("hi")))
+    many = F.transform("b", lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi")))
+    listed = whole.join(bounds, F.col("words") == F.col("b_words"), "left").withColumn("all", F.coalesce(many, one))
+    return listed.select("words", k.alias("k"), F.slice("all", 1, k).alias("gaps"), F.element_at("all", -1).alias("tail"), "own_support", "first_seen")
 
 
 def clusters(rolled: DataFrame, support: int) -> DataFrame:

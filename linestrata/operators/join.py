@@ -9,25 +9,27 @@ from pyspark.sql import functions as F
 def co_occurrence(candidates: DataFrame, clusters: DataFrame) -> DataFrame:
     """a, b, n: lines that have both words, for pairs of words that share a cluster.
 
-    What a line adds depends on its candidate alone, so candidates stand for lines.
+    What a line adds depends on its candidate alone, so candidates stand for
+    lines.  A candidate is cut down to the words of clusters before its words are
+    paired.
     """
-    wanted = clusters.select(F.explode(F.array_distinct("words")).alias("a"), F.array_distinct("words").alias("bs")).select("a", F.explode("bs").alias("b")).distinct()
-    known = wanted.select(F.col("a").alias("known")).distinct()
+    words = clusters.select(F.array_distinct("words").alias("ws"))
+    wanted = words.select(F.explode("ws").alias("wa"), "ws").select("wa", F.explode("ws").alias("wb")).distinct()
+    known = words.select(F.explode("ws").alias("known")).distinct()
     members = (
-        candidates.select(F.xxhash64("words").alias("id"), "words", "own_support", F.explode(F.array_distinct("words")).alias("a"))
+        candidates.select(F.monotonically_increasing_id().alias("id"), "own_support", F.array_distinct("words").alias("ws"))
+        .select("id", "own_support", F.explode("ws").alias("a"))
         .join(known, F.col("a") == F.col("known"), "left_semi")
+        .groupBy("id", "own_support")
+        .agg(F.collect_list("a").alias("ws"))  # at most the words of a line
     )
-    pairs = members.select("a", "own_support", F.explode(F.array_distinct("words")).alias("b"))
-    return (
-        pairs.groupBy("a", "b")
-        .agg(F.sum("own_support").alias("n"))
-        .join(wanted.select(F.col("a").alias("wa"), F.col("b").alias("wb")), (F.col("a") == F.col("wa")) & (F.col("b") == F.col("wb")), "left_semi")
-    )
+    pairs = members.select("own_support", F.explode("ws").alias("a"), "ws").select("own_support", "a", F.explode("ws").alias("b"))
+    counted = pairs.groupBy("a", "b").agg(F.sum("own_support").alias("n"))
+    return counted.join(wanted, (F.col("a") == F.col("wa")) & (F.col("b") == F.col("wb")), "left_semi")
 
 
-def dependency(candidates: DataFrame, clusters: DataFrame) -> DataFrame:
-    """a, b, dep: the share of the lines with a that have b too."""
-    n = co_occurrence(candidates, clusters)
+def dependency(n: DataFrame) -> DataFrame:
+    """a, b, dep: the share of the lines with a that have b too; ``n`` is what ``co_occurrence`` gives."""
     alone = n.where("a = b").select(F.col("a").alias("aa"), F.col("n").alias("na"))
     return n.join(alone, F.col("a") == F.col("aa")).select("a", "b", (F.col("n") / F.col("na")).alias("dep"))
 

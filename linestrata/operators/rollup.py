@@ -3,9 +3,10 @@
 A pattern is read as a list of nodes: before each word a gap node if that gap can
 be more than zero, then the word, and a gap node for the tail likewise.  A
 pattern C with a gap absorbs another pattern D if a greedy left-to-right reading
-of D's nodes fits C (no backtracking).  D then has more constants than C, and its
-first nodes are C's words up to C's first gap; both facts block the self-join,
-which would otherwise compare all pairs.
+of D's nodes fits C (no backtracking).  D then has all words of C and more, its
+first nodes are C's words up to C's first gap, and its least and greatest length
+lie inside C's; these facts block the self-join, which would otherwise compare
+all pairs.
 """
 
 from __future__ import annotations
@@ -62,37 +63,54 @@ def accepts(words: Column, gaps: Column, tail: Column, prefix: Column, d_nodes:
     return F.aggregate(rest, state(prefix + 1, zero, zero, yes, no), read, lambda s: s["alive"] & s["ok"])
 
 
-def absorbed(candidates: DataFrame) -> DataFrame:
-    """words, d_words, d_support: every accepted pair of a pattern and a more specific one."""
-    listed = candidates.select("words", "k", "gaps", "tail", "own_support", nodes().alias("nodes"), fixed_prefix().alias("p"))
+def reach() -> Column:
+    """The least and the most tokens that a line of the pattern has."""
+    bounds = F.concat("gaps", F.array(F.col("tail")))
+    total = lambda end: F.size("words") + F.aggregate(bounds, F.lit(0), lambda s, g: s + g[end].cast("int"))
+    return F.struct(total("lo").alias("lo"), total("hi").alias("hi"))
+
+
+def compared(candidates: DataFrame) -> DataFrame:
+    """Pairs of a pattern with a gap and a longer one that may be more specific.
+
+    They meet by the pattern's rarest word, which the other must have.  The other
+    has more constants, begins with the same words up to the first gap, and its
+    lines are no shorter and no longer than the pattern allows; all of this is
+    part of the join.
+    """
+    listed = candidates.select("words", "k", "gaps", "tail", "own_support", nodes().alias("nodes"), fixed_prefix().alias("p"), reach().alias("reach"))
     general = listed.where((F.col("tail.hi") > 0) | F.exists("gaps", lambda g: g["hi"] > 0)).drop("own_support", "nodes")
-    specific = listed.select(
-        F.col("words").alias("d_words"), F.col("k").alias("d_k"), F.col("p").alias("d_p"), F.col("nodes").alias("d_nodes"), F.col("own_support").alias("d_support")
+    members = listed.select(
+        F.col("words").alias("d_words"),
+        F.col("k").alias("d_k"),
+        F.col("p").alias("d_p"),
+        F.col("reach").alias("d_reach"),
+        F.col("nodes").alias("d_nodes"),
+        F.col("own_support").alias("d_support"),
+        F.explode(F.array_distinct("words")).alias("d_word"),
     )
-    # prefixes of D without a gap, each once; C meets those equal to its own
-    headed = general.where("p > 0").withColumn("head", F.slice("words", 1, F.col("p")))
-    heads = specific.where("d_p > 0").select(
-        "*", F.explode(F.transform(F.sequence(F.lit(1), F.col("d_p")), lambda n: F.slice("d_words", 1, n))).alias("d_head")
-    )
-    by_head = headed.join(heads, (F.col("head") == F.col("d_head")) & (F.col("d_k") > F.col("k"))).drop("head", "d_head")
-    # patterns that begin with a gap meet by their rarest word, where D has it
-    members = specific.select("*", F.explode(F.array_distinct("d_words")).alias("d_word"))
     rarity = members.groupBy(F.col("d_word").alias("r_word")).agg(F.count(F.lit(1)).alias("r"))
-    open_ = general.where("p = 0")
     rarest = (
-        open_.select("words", F.explode(F.array_distinct("words")).alias("word"))
+        general.select("words", F.explode(F.array_distinct("words")).alias("word"))
         .join(rarity, F.col("word") == F.col("r_word"))
         .groupBy(F.col("words").alias("c_words"))
         .agg(F.min(F.struct("r", "word")).alias("best"))
         .select("c_words", F.col("best.word").alias("word"))
     )
-    by_word = (
-        open_.join(rarest, F.col("words") == F.col("c_words"))
-        .join(members, (F.col("word") == F.col("d_word")) & (F.col("d_k") > F.col("k")))
-        .drop("c_words", "word", "d_word")
+    fits = (
+        (F.col("d_k") > F.col("k"))
+        & (F.col("d_p") >= F.col("p"))
+        & (F.col("d_reach.lo") >= F.col("reach.lo"))
+        & (F.col("d_reach.hi") <= F.col("reach.hi"))
+        & (F.slice("d_words", 1, F.col("p")) == F.slice("words", 1, F.col("p")))
     )
-    pairs = by_head.unionByName(by_word)
-    return pairs.where(accepts(F.col("words"), F.col("gaps"), F.col("tail"), F.col("p"), F.col("d_nodes"))).select("words", "d_words", "d_support")
+    return general.join(rarest, F.col("words") == F.col("c_words")).join(members, (F.col("word") == F.col("d_word")) & fits)
+
+
+def absorbed(candidates: DataFrame) -> DataFrame:
+    """words, d_words, d_support: every accepted pair of a pattern and a more specific one."""
+    taken = accepts(F.col("words"), F.col("gaps"), F.col("tail"), F.col("p"), F.col("d_nodes"))
+    return compared(candidates).where(taken).select("words", "d_words", "d_support")
 
 
 def roll_up(candidates: DataFrame) -> DataFrame:

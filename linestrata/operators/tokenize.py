@@ -6,15 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linestrata.functions.binding import let
+from linestrata.functions.bytes import part_of_bytes
 from linestrata.functions.template import apply_template
 from linestrata.plans.config import MAX_TOKENS, MinerConfig
 
 
 def drop_bytes(line: Column, n: int) -> Column:
     """The line without its first n bytes."""
-    if not n:
-        return line
-    return F.decode(F.substring(F.encode(line, "UTF-8"), n + 1, 2_000_000_000), "UTF-8")
+    return part_of_bytes(line, n + 1, 2_000_000_000) if n else line
 
 
 def split_line(line: Column, separator: str, cap: int = MAX_TOKENS) -> Column:

@@ -28,15 +28,22 @@ class MiningResult:
     Two small things are: the support, where it is a percentage (one count), and
     the frequent words, as long as there are few.  Frames that are used again are
     the size of the vocabulary or of the candidates and are kept in memory (and
-    on disk) by ``persist``; ``close`` lets them go.  Lines are never kept: every
-    pass reads them again.
+    on disk) by ``persist``; ``close``, or leaving a ``with`` block, lets them go.
+    Lines are never kept: every pass reads them again.
     """
 
     def __init__(self, lines: DataFrame, config: MinerConfig):
         self.config = config
+        lines = spread(lines)
         self.lines = chunk_lines(lines, config.max_line_bytes) if config.max_line_bytes else lines
         self._kept: list[DataFrame] = []
 
+    def __enter__(self) -> MiningResult:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
     def _keep(self, df: DataFrame) -> DataFrame:
         self._kept.append(df.persist())
         return df
@@ -87,7 +94,7 @@ class MiningResult:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return self._keep(c.candidates(self.reduced, self.config, self.support))
+        return self._keep(c.candidates(self._keep(c.shapes(self.reduced, self.config, self.support))))
 
     @cached_property
     def rolled(self) -> DataFrame:
@@ -99,11 +106,11 @@ class MiningResult:
 
     @cached_property
     def dependencies(self) -> DataFrame:
-        return j.dependency(self.candidates, self.clusters)
+        return j.dependency(self._keep(j.co_occurrence(self.candidates, self.clusters)))
 
     @cached_property
     def word_weights(self) -> DataFrame:
-        return j.word_weights(self.clusters, self.dependencies, self.config.weightf)
+        return self._keep(j.word_weights(self.clusters, self.dependencies, self.config.weightf))
 
     @cached_property
     def final(self) -> DataFrame:
@@ -143,6 +150,20 @@ class MiningResult:
         return found
 
 
+def spread(lines: DataFrame) -> DataFrame:
+    """Lines of a scan with fewer splits than there are cores, dealt out to all cores.
+
+    A file that can't be split (one row group, say) would leave the rest of the
+    cluster without work in every pass.  Large input has more splits and stays as
+    it is, as does whatever has been shuffled before.
+    """
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    plan = lines._jdf.queryExecution().executedPlan()
+    if lines.isStreaming or plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" or lines.rdd.getNumPartitions() >= cores:
+        return lines
+    return lines.repartition(cores)
+
+
 def mine(source: DataFrame | SparkSession, config: MinerConfig) -> MiningResult:
     """Mine a DataFrame with columns line_id and value, or the files that ``config`` names."""
     if isinstance(source, SparkSession):
