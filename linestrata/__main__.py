@@ -11,9 +11,10 @@ from pyspark.sql import SparkSession
 
 from linestrata import __version__
 from linestrata.functions.facilities import facility_number
-from linestrata.operators.report import report_lines
+from linestrata.operators.report import candidates_listed, report_lines, words_listed
 from linestrata.plans.config import DEFAULT_SEPARATOR, ConfigError, MinerConfig
 from linestrata.plans.miner import mine
+from linestrata.plans.progress import Progress
 
 log = logging.getLogger("linestrata")
 
@@ -40,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--detailtoken", action="store_true", help="brackets around single alternatives too")
     p.add_argument("-o", "--outliers", metavar="PATH", help="write lines without a pattern here")
     p.add_argument("--outputmode", type=int, nargs="?", const=1, default=0, help="1: sort by the number of constants")
-    p.add_argument("--debug", type=int, nargs="?", const=1, default=0, help="1: print words and candidates; 2, 3: progress")
+    p.add_argument("--debug", type=int, nargs="?", const=1, default=0, help="1: print words and candidates; 2, 3: progress by tenths of a stage or every five seconds")
     p.add_argument("--syslog", nargs="?", const="local2", help="messages go to syslog too")
     p.add_argument("--version", action="version", version=__version__)
     return p
@@ -88,23 +89,32 @@ def set_up_log(syslog: str | None) -> None:
 
 
 def run(spark: SparkSession, config: MinerConfig, out=sys.stdout) -> int:
-    result = mine(spark, config)
-    log.info("support %d, %d lines", result.support, result.line_count)
-    if result.nothing_frequent:
-        log.info("no frequent words")
-        return 0
-    if config.debug == 1:
-        for row in result.frequent_words.orderBy("df", ascending=False).toLocalIterator():
-            log.info("frequent word %s -- %d", row["word"], row["df"])
-        for row in result.candidates.orderBy("own_support", ascending=False).toLocalIterator():
-            log.info("candidate %s -- %d", " ".join(row["words"]), row["own_support"])
-    for row in report_lines(result.report.coalesce(1)).toLocalIterator():
-        print(row["value"], file=out)
-    if config.outliers:
-        result.outliers.select("value").write.mode("overwrite").text(config.outliers)
-    if config.debug:
-        log.info("%s", result.stats())
-    result.close()
+    progress = Progress(spark, config.debug)
+    with mine(spark, config) as result:
+        with progress.phase("reading") as found:
+            found |= {"lines": result.line_count, "support": result.support}
+        with progress.phase("vocabulary") as found:
+            found |= result.word_histogram.first().asDict()
+        with progress.phase("frequent words") as found:
+            found["frequent words"] = result.frequent_words.count()
+        if not found["frequent words"]:
+            return 0
+        with progress.phase("candidates") as found:
+            found["candidates"] = result.candidates.count()
+        with progress.phase("clusters") as found:
+            found["clusters"] = result.clusters.count()
+        if config.debug == 1:
+            for dump in (words_listed(result.frequent_words), candidates_listed(result.candidates)):
+                for row in dump.toLocalIterator():
+                    log.info("%s", row["value"])
+        with progress.phase("report"):
+            for row in report_lines(result.report.coalesce(1)).toLocalIterator():
+                print(row["value"], file=out)
+        if config.outliers:
+            with progress.phase("outliers"):
+                result.outliers.select("value").write.mode("overwrite").text(config.outliers)
+        if config.debug:
+            log.info("%s", result.stats())
     return 0
 
 

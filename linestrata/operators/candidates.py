@@ -16,11 +16,6 @@ from pyspark.sql.classic.column import Column as JvmColumn
 from linestrata.operators.vocabulary import sketch_slot
 from linestrata.plans.config import MinerConfig
 
-#: Frequent words up to this number become a hash set inside the expression
-#: (no join, no shuffle); more are joined.  Both give the same rows.
-INLINE_WORDS = 20_000
-
-
 def is_one_of(words: list[str]) -> Callable[[Column], Column]:
     """A test for membership of ``words``, which reach the JVM in one call and not one by one."""
     if not words:
@@ -40,7 +35,7 @@ def _from_constants(df: DataFrame, constants: Column, n_tokens: Column) -> DataF
         df.withColumn("_c", constants)
         .withColumn("words", F.col("_c.word"))
         .withColumn("gaps", F.transform("_c", lambda c, i: c["pos"] - F.coalesce(F.get("_c", i - 1)["pos"], F.lit(-1)) - 1))
-        .withColumn("tail", n_tokens - 1 - F.coalesce(F.element_at("_c.pos", -1), F.lit(-1)))
+        .withColumn("tail", n_tokens - 1 - F.coalesce(F.try_element_at("_c.pos", F.lit(-1)), F.lit(-1)))
         .withColumn("k", F.size("_c"))
         .drop("_c")
     )
@@ -50,8 +45,9 @@ def reduce_lines(tokenized: DataFrame, frequent: DataFrame, words: list[str] | N
     """line_id, value, words, gaps, tail, k of every line (k = 0: no frequent word).
 
     An original word that is frequent wins; else the derived form counts if that
-    is.  ``words`` are the frequent words if they are few, else ``frequent`` is
-    joined; its size decides how.
+    is.  ``words`` are the frequent words if they are few, and become a hash set
+    inside the expression (no join, no shuffle); else ``frequent`` is joined, and
+    its size decides how.  Both give the same rows.
     """
     return _reduced_inline(tokenized, words, use_derived) if words is not None else _reduced_by_join(tokenized, frequent, use_derived)
 

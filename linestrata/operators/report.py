@@ -52,3 +52,14 @@ def report(final: DataFrame, outputmode: int = 0, detailtoken: bool = False) ->
 def report_lines(rows: DataFrame) -> DataFrame:
     """value: each pattern, its support and an empty line."""
     return rows.select(F.explode(F.array(F.col("pattern"), F.concat(F.lit("Support : "), "support_fmt"), F.lit(""))).alias("value"))
+
+
+def words_listed(frequent: DataFrame) -> DataFrame:
+    """value: the frequent words and their lines, the most frequent first."""
+    return frequent.orderBy(F.desc("df"), "word").select(F.concat_ws(" -- ", "word", F.col("df").cast("string")).alias("value"))
+
+
+def candidates_listed(candidates: DataFrame) -> DataFrame:
+    """value: the candidates and their own lines, the most frequent first."""
+    shown = candidates.withColumn("pattern", pattern_text())
+    return shown.orderBy(F.desc("own_support"), "pattern").select(F.concat_ws("-- ", "pattern", F.col("own_support").cast("string")).alias("value"))

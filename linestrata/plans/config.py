@@ -52,6 +52,7 @@ class MinerConfig:
     debug: int = 0
     syslog: str | None = None
     max_line_bytes: int | None = None
+    inline_words: int = 20_000  # frequent words that become part of an expression; more are joined, with the same result
     pieces: tuple = field(init=False, default=())
 
     def __post_init__(self):

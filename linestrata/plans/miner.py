@@ -77,8 +77,9 @@ class MiningResult:
     @cached_property
     def _few_words(self) -> list[str] | None:
         """The frequent words if they are few enough to be part of an expression."""
-        rows = self.frequent_words.select("word").limit(c.INLINE_WORDS + 1).collect()
-        return None if len(rows) > c.INLINE_WORDS else [x[0] for x in rows]
+        most = self.config.inline_words
+        rows = self.frequent_words.select("word").limit(most + 1).collect()
+        return None if len(rows) > most else [x[0] for x in rows]
 
     @cached_property
     def nothing_frequent(self) -> bool:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 EVENTS = """SELECT event_id AS line_id, concat_ws(' ', 'event', event_type, 'user', user_id, CASE WHEN event_id % 3 = 0 THEN 'r' || event_id END, 'props', props) AS value FROM events"""
 ORDERS = """SELECT o_orderkey AS line_id, concat_ws(' ', 'order', o_orderkey, 'customer', o_custkey, 'status', o_orderstatus, o_orderpriority) AS value FROM orders"""
-DOCUMENTS = """SELECT doc_id * 1000000 + p AS line_id, line AS value FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS p FROM documents)"""
-CONVERSATIONS = """SELECT conv_id * 1000000 + turn * 1000 + p AS line_id, concat_ws(' ', role, line) AS value FROM (SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS p FROM conversations)"""
+DOCUMENTS = """SELECT doc_id * 1000000 + p AS line_id, line AS value FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS p FROM documents)"""
+CONVERSATIONS = """SELECT conv_id * 1000000 + turn * 1000 + p AS line_id, concat_ws(' ', role, line) AS value FROM (SELECT conv_id, turn, role, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS p FROM conversations)"""
+SHIFTS = """SELECT o_orderkey AS line_id, concat_ws(' ', CASE WHEN o_orderkey % 7 > 4 THEN 'recheck' ELSE 'line ' || (o_orderkey % 7) END, 'flag', o_orderstatus, 'order', 'n' || o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'x' || o_custkey END, 'team', o_orderkey // 7 % 2) AS value FROM orders"""
 PAGES = "SELECT page_id AS line_id, url AS value FROM pages"
 PADDED = f"SELECT line_id, ' ' || replace(value, ' user ', '  user ') || ' ' AS value FROM ({EVENTS})"
 MIXED = f"{EVENTS} UNION ALL SELECT line_id + 1000000000, value FROM ({CONVERSATIONS})"
@@ -17,6 +18,15 @@ split AS (SELECT line_id, value, CASE WHEN {usable} THEN string_split_regex({tex
 tok AS (SELECT line_id, value, (CASE WHEN len(t) > 1 AND t[len(t)] = '' THEN t[1:len(t) - 1] ELSE t END)[1:512] AS tokens FROM split)"""
 
 
+def cut_bytes(line: str, start: str, length: str | None = None) -> str:
+    """Bytes of valid UTF-8 text; what is left of characters that are cut through becomes U+FFFD."""
+    part = f"substr(hex(encode({line})), 2 * ({start}) + 1{f', 2 * ({length})' if length else ''})"
+    orphans = f"regexp_extract({part}, '^(?:[89AB][0-9A-F])*')"
+    whole = f"repeat('EFBFBD', len({orphans}) // 2) || substr({part}, len({orphans}) + 1)"
+    unfinished = "(?:C[2-9A-F]|D[0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-4](?:[89AB][0-9A-F]){0,2})"
+    return f"decode(unhex(regexp_replace({whole}, '^((?:[0-9A-F]{{2}})*?){unfinished}$', '\\1EFBFBD')))"
+
+
 def derived(wfilter: str, wsearch: str, wreplace: str) -> str:
     return f"""der AS (SELECT line_id, value, tokens, list_transform(tokens, lambda t: CASE WHEN t <> '' AND regexp_matches(t, '{wfilter}') AND regexp_matches(t, '{wsearch}')
   THEN regexp_replace(t, '{wsearch}', '{wreplace}', 'g') END) AS derived FROM tok)"""
@@ -89,11 +99,11 @@ ranges AS (SELECT key, list(lo ORDER BY p) AS lo, list(hi ORDER BY p) AS hi FROM
   SELECT key, unnest(lo) AS l, unnest(hi) AS h, unnest(range(k + 1)) AS p FROM marked WHERE list_contains(weak, true)) GROUP BY key, p) GROUP BY key),
 options AS (SELECT key, list(o ORDER BY p) AS alts FROM (SELECT key, p, list(w ORDER BY last, w) AS o FROM (SELECT key, p, w, max(first_seen) AS last FROM (
   SELECT key, first_seen, unnest(words) AS w, unnest(range(k)) AS p FROM marked WHERE list_contains(weak, true)) GROUP BY key, p, w) GROUP BY key, p) GROUP BY key),
-fin AS (SELECT words, k, lo, hi, support, first_seen, list_transform(words, lambda w: [w]) AS alts, list_transform(words, lambda w: false) AS weak, 1::BIGINT AS n_inputs, false AS is_joined FROM marked WHERE NOT list_contains(weak, true)
-UNION ALL SELECT key, len(key), lo, hi, support, first_seen, alts, list_transform(key, lambda w: w = ' '), n_inputs, true FROM whole JOIN ranges USING (key) JOIN options USING (key))"""
+fin AS (SELECT words, k, lo, hi, support, first_seen, list_transform(words, lambda w: [w]) AS alts, list_transform(words, lambda w: false) AS weak, 1::BIGINT AS n_inputs, false AS is_joined, first_seen AS latest FROM marked WHERE NOT list_contains(weak, true)
+UNION ALL SELECT key, len(key), lo, hi, support, first_seen, alts, list_transform(key, lambda w: w = ' '), n_inputs, true, latest FROM whole JOIN ranges USING (key) JOIN options USING (key))"""
 
 
-NOT_JOINED = "fin AS (SELECT *, list_transform(words, lambda w: [w]) AS alts, list_transform(words, lambda w: false) AS weak, 1::BIGINT AS n_inputs, false AS is_joined FROM clus)"
+NOT_JOINED = "fin AS (SELECT *, list_transform(words, lambda w: [w]) AS alts, list_transform(words, lambda w: false) AS weak, 1::BIGINT AS n_inputs, false AS is_joined, first_seen AS latest FROM clus)"
 
 
 def rendered(detail: bool = False) -> str:
@@ -118,3 +128,6 @@ def mining_derived(source: str, s: str, rule: tuple[str, str, str]) -> list[str]
 REPORT = "SELECT pattern, support::BIGINT AS support, k::BIGINT AS k FROM shown"
 CANDIDATE_ROWS = "SELECT array_to_string(words, ' ') AS words, array_to_string(list_transform(range(k + 1), lambda i: lo[i + 1] || '-' || hi[i + 1]), ' ') AS gaps, k::BIGINT AS k, {0}::BIGINT AS support FROM {1}"
 WEIGHT_ROWS = "SELECT array_to_string(words, ' ') AS words, pos::BIGINT AS pos, word, round(weight, 6) AS weight FROM weight"
+COUNTED_ROWS = "SELECT row_number() OVER (ORDER BY {0}) - 1 AS place, pattern, support::BIGINT AS support, k::BIGINT AS k FROM shown"
+BY_SUPPORT = "support DESC, k, first_seen DESC, pattern"
+BY_CONSTANTS = "k, is_joined, CASE WHEN is_joined THEN latest END NULLS FIRST, first_seen DESC, pattern"

@@ -23,12 +23,46 @@ def test_long_lines_in_chunks(spark):
 
 
 def test_command_line(spark, tmp_path):
-    (tmp_path / "x.log").write_text("Interface eth0 down\nInterface eth1 down\nInterface eth2 is down\nInterface eth0 up\n")
+    (tmp_path / "x.log").write_text("pump p0 stopped\npump p1 stopped\npump p2 has stopped\npump p0 running\n")
     out = io.StringIO()
     args = parser().parse_args([f"--input={tmp_path}/x.log", "-s", "75%", f"--outliers={tmp_path}/out", "--debug"])
     assert run(spark, to_config(args), out) == 0
-    assert out.getvalue() == "Interface *{1,2} down \nSupport : 3\n\n"
-    assert [r["value"] for r in spark.read.text(f"{tmp_path}/out").collect()] == ["Interface eth0 up"]
+    assert out.getvalue() == "pump *{1,2} stopped \nSupport : 3\n\n"
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/out").collect()] == ["pump p0 running"]
+
+
+def test_progress_is_logged(spark, tmp_path, caplog, monkeypatch):
+    from linestrata.plans import progress
+
+    (tmp_path / "x.log").write_text("pump p0 stopped\npump p1 stopped\n")
+    caplog.set_level("INFO", "linestrata")
+    for level in (2, 3):
+        caplog.clear()
+        args = parser().parse_args([f"--input={tmp_path}/x.log", "-s", "2", f"--debug={level}"])
+        assert run(spark, to_config(args), io.StringIO()) == 0
+        ends = [r.getMessage().split(":")[0] for r in caplog.records if "tasks of stage" not in r.getMessage()]
+        assert ends[:6] == ["reading", "vocabulary", "frequent words", "candidates", "clusters", "report"]
+        assert "2 lines, 2 support" in caplog.text and "4 words" in caplog.text and "2 df_upto_1" in caplog.text
+    caplog.clear()
+    slow = progress.Progress(spark, 3, seconds=0.05)
+    with slow.phase("slow"):
+        spark.sparkContext.parallelize(range(2), 2).foreach(lambda x: __import__("time").sleep(0.5))
+    assert "slow: 0 of 2 tasks" in caplog.text
+
+
+def test_one_scan_for_many_files(spark, tmp_path):
+    for k in range(20):
+        (tmp_path / f"f {k:02}.log").write_text(f"line {k}\nagain\n")
+    lines = read_lines(spark, [str(tmp_path / "*.log")])
+    assert [r["value"] for r in lines.orderBy("line_id").collect()][::2] == [f"line {k}" for k in range(20)]
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_chunks_inside_characters(spark):
+    df = from_dataframe(spark.createDataFrame([(1, "aé日🎉b")], "i int, v string"), "v", "i")
+    cut = lambda n: [r["value"] for r in chunk_lines(df, n).orderBy("line_id").collect()]
+    assert cut(2) == ["a\ufffd", "\ufffd\ufffd", "\ufffd\ufffd", "\ufffd", "\ufffd\ufffd", "b"]
+    assert cut(6) == ["aé日", "🎉b"] and cut(11) == ["aé日🎉b", ""]
 
 
 def test_command_line_errors(capsys):

@@ -7,7 +7,6 @@ import model
 import pytest
 
 from linestrata.functions.words import replace_repeatedly
-from linestrata.operators import candidates as c
 from linestrata.operators.tokenize import tokenize
 from linestrata.plans.config import ConfigError, MinerConfig
 from linestrata.plans.miner import mine
@@ -23,10 +22,10 @@ def run(spark, lines, **options):
     return {r["pattern"]: r["support"] for r in m.report.collect()}, sorted(r["line_id"] for r in m.outliers.collect())
 
 
-DOWN = ["Interface eth0 down", "Interface eth1 down", "Interface eth2 is down", "Interface eth0 up"]
-ETH = ["Interface eth0 unstable"] * 2 + ["Interface eth1 unstable"] * 2
-CONN = ["conn 10.1.1.1 ok", "conn 10.1.1.2 ok", "conn 10.1.1.2 ok"]
-RULE = {"wfilter": "[.:]", "wsearch": "[0-9]+", "wreplace": "N"}
+PUMPS = ["pump p0 stopped", "pump p1 stopped", "pump p2 has stopped", "pump p0 running"]
+VALVES = ["valve v0 leaking"] * 2 + ["valve v1 leaking"] * 2
+RACKS = ["rack 7:4:1 ready", "rack 7:4:2 ready", "rack 7:4:2 ready"]
+RULE = {"wfilter": ":", "wsearch": "[0-9]+", "wreplace": "N"}
 
 
 @pytest.mark.parametrize(
@@ -44,6 +43,8 @@ RULE = {"wfilter": "[.:]", "wsearch": "[0-9]+", "wreplace": "N"}
         ("abc", {"byteoffset": 3}, []),
         ("abcd", {"byteoffset": 3}, ["d"]),
         ("éa b", {"byteoffset": 2}, ["a", "b"]),
+        ("aébc d", {"byteoffset": 2}, ["\ufffdbc", "d"]),
+        ("日x", {"byteoffset": 1}, ["\ufffd\ufffdx"]),
         ("x1y", {"separator": "[[:digit:]]"}, ["x", "y"]),
     ],
 )
@@ -52,32 +53,32 @@ def test_tokenizer(spark, line, options, expected):
 
 
 def test_filter_and_template(spark):
-    line = "Apr 15 12:00:00 myhost sshd[123]: this is a test"
-    one = lambda **o: tokenize(log(spark, [line, "other"]), MinerConfig(support=1, lfilter=r"(sshd\[[0-9]+\]:.*)", **o)).orderBy("line_id").collect()
-    assert [r["tokens"] for r in one(template="$1")] == [["sshd[123]:", "this", "is", "a", "test"], []]
+    line = "Mon 03 07:15 node7 cron<88>: nightly job went well"
+    one = lambda **o: tokenize(log(spark, [line, "other"]), MinerConfig(support=1, lfilter=r"(cron<[0-9]+>:.*)", **o)).orderBy("line_id").collect()
+    assert [r["tokens"] for r in one(template="$1")] == [["cron<88>:", "nightly", "job", "went", "well"], []]
     assert one(template="X $0")[0]["tokens"] == ["X", *line.split(" ")]
     assert one(template="$7")[0]["tokens"] == [""]
-    assert one(template=("a", " $1"))[0]["tokens"][:2] == ["a", "sshd[123]:"]
+    assert one(template=("a", " $1"))[0]["tokens"][:2] == ["a", "cron<88>:"]
 
 
 @pytest.mark.parametrize(
     ("lines", "options", "patterns", "outliers"),
     [
-        (DOWN, {"support": 3}, {"Interface *{1,2} down ": 3}, [3]),
-        (DOWN, {"support": 2}, {"Interface *{1,2} down ": 2}, [0, 3]),
-        (DOWN, {"support": 2, "aggrsup": True}, {"Interface *{1,2} down ": 3, "Interface eth0 *{1,1}": 2}, [0]),
-        (DOWN, {"rsupport": 75}, {"Interface *{1,2} down ": 3}, [3]),
-        (DOWN, {"support": 9}, {}, []),
+        (PUMPS, {"support": 3}, {"pump *{1,2} stopped ": 3}, [3]),
+        (PUMPS, {"support": 2}, {"pump *{1,2} stopped ": 2}, [0, 3]),
+        (PUMPS, {"support": 2, "aggrsup": True}, {"pump *{1,2} stopped ": 3, "pump p0 *{1,1}": 2}, [0]),
+        (PUMPS, {"rsupport": 75}, {"pump *{1,2} stopped ": 3}, [3]),
+        (PUMPS, {"support": 9}, {}, []),
         ([" a b", "a b"], {"support": 2}, {"*{0,1} a b ": 2}, []),
-        (ETH, {"support": 2, "wweight": 0.7}, {"Interface (eth0|eth1) unstable ": 4}, []),
-        (ETH, {"support": 2, "wweight": 0.6}, {"Interface eth0 unstable ": 2, "Interface eth1 unstable ": 2}, []),
-        (ETH, {"support": 2, "wweight": 0.6, "weightf": 2}, {"Interface (eth0|eth1) unstable ": 4}, []),
+        (VALVES, {"support": 2, "wweight": 0.7}, {"valve (v0|v1) leaking ": 4}, []),
+        (VALVES, {"support": 2, "wweight": 0.6}, {"valve v0 leaking ": 2, "valve v1 leaking ": 2}, []),
+        (VALVES, {"support": 2, "wweight": 0.6, "weightf": 2}, {"valve (v0|v1) leaking ": 4}, []),
         (["a b", "a b", "a c"], {"support": 2, "wweight": 0.9}, {"a b ": 2}, [2]),
         (["a b", "a b", "a c"], {"support": 2, "wweight": 0.9, "detailtoken": True}, {"a (b) ": 2}, [2]),
-        (CONN, {"support": 3, **RULE}, {"conn N.N.N.N ok ": 3}, [0, 1, 2]),
-        (CONN, {"support": 3, "replace_mode": "global", **RULE}, {"conn N.N.N.N ok ": 3}, [0, 1, 2]),
-        (CONN, {"support": 2, **RULE}, {"conn 10.1.1.2 ok ": 2}, [0]),
-        (CONN, {"support": 3, "outliers_use_derived": True, **RULE}, {"conn N.N.N.N ok ": 3}, []),
+        (RACKS, {"support": 3, **RULE}, {"rack N:N:N ready ": 3}, [0, 1, 2]),
+        (RACKS, {"support": 3, "replace_mode": "global", **RULE}, {"rack N:N:N ready ": 3}, [0, 1, 2]),
+        (RACKS, {"support": 2, **RULE}, {"rack 7:4:2 ready ": 2}, [0]),
+        (RACKS, {"support": 3, "outliers_use_derived": True, **RULE}, {"rack N:N:N ready ": 3}, []),
         ([], {"support": 1}, {}, []),
     ],
 )
@@ -88,9 +89,9 @@ def test_cases(spark, lines, options, patterns, outliers):
 @pytest.mark.parametrize(
     ("word", "search", "replacement", "expected"),
     [
-        ("10.1.1.2:80", "[0-9]+", "N", "N.N.N.N:N"),
-        ("k=v", "=.+", "=VALUE", "k=VALUE"),
-        ("ab.cd", "[A-Za-z0-9]+", "N", "N.cd"),
+        ("7:4:12/3", "[0-9]+", "N", "N:N:N/N"),
+        ("user:bob", ":.+", ":NAME", "user:NAME"),
+        ("up-down", "[A-Za-z0-9]+", "N", "N-down"),
         ("1234", "[0-9]{2}", "1", "1"),
         ("aaa", "a", "", ""),
     ],
@@ -104,8 +105,8 @@ def test_support_arithmetic(spark):
 
     assert relative_support(20_000, 0.1) == 20
     assert relative_support(4, 10) == 0
-    assert mine(log(spark, DOWN), MinerConfig(support=-5, rsupport=50)).support == 5
-    assert len(run(spark, DOWN, rsupport=10)[0]) == 4  # a support of 0 lets everything pass
+    assert mine(log(spark, PUMPS), MinerConfig(support=-5, rsupport=50)).support == 5
+    assert len(run(spark, PUMPS, rsupport=10)[0]) == 4  # a support of 0 lets everything pass
 
 
 @pytest.mark.parametrize(
@@ -158,11 +159,45 @@ def test_random_logs(spark, seed):
         assert run(spark, lines, support=support, **options) == (expected["patterns"], expected["outliers"])
 
 
-def test_many_frequent_words_are_joined(spark, monkeypatch):
-    lines = random_log(random.Random(77)) + CONN * 2
-    few = run(spark, lines, support=2, aggrsup=True, **RULE)
-    monkeypatch.setattr(c, "INLINE_WORDS", 0)
-    assert run(spark, lines, support=2, aggrsup=True, **RULE) == few
+@pytest.mark.parametrize("inline", [20_000, 0])
+def test_words_inside_the_expression_or_joined(spark, inline):
+    lines = random_log(random.Random(77)) + RACKS * 2 + ["", " ", "a  b"]
+    expected = model.mine(lines, 2, aggrsup=True, derive=lambda t: re.sub("[0-9]+", "N", t) if ":" in t else None)
+    got = run(spark, lines, support=2, aggrsup=True, inline_words=inline, outliers_use_derived=False, **RULE)
+    assert got == (expected["patterns"], expected["outliers"])
+
+
+@pytest.mark.parametrize("inline", [20_000, 0])
+def test_equal_lines_of_one_id_stay_apart(spark, inline):
+    rows = [(None, "a b c")] * 3 + [(7, "a b c"), (7, "a b c"), (7, "x"), (7, None)]
+    m = mine(spark.createDataFrame(rows, "line_id long, value string"), MinerConfig(support=2, inline_words=inline))
+    assert [(r["words"], r["own_support"]) for r in m.candidates.collect()] == [(["a", "b", "c"], 5)]
+    assert sorted(r["value"] or "" for r in m.outliers.collect()) == ["", "x"]
+
+
+@pytest.mark.parametrize("inline", [20_000, 0])
+def test_no_word_is_frequent(spark, inline):
+    m = mine(log(spark, ["\0 a", "\0"]), MinerConfig(support=3, inline_words=inline))
+    assert [r["k"] for r in m.reduced.collect()] == [0, 0] and m.clusters.count() == 0
+    m = mine(log(spark, ["a\nb c", "a\nb d"]), MinerConfig(support=2, inline_words=inline))
+    assert [r["words"] for r in m.candidates.collect()] == [["a\nb"]]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_lines_that_all_start_alike(spark, seed):
+    """Blocking by the first words would compare all with all."""
+    rnd = random.Random(seed)
+    lines = ["sys main " + line.strip() for _ in range(15) for line in random_log(rnd)]
+    for options in ({"aggrsup": True}, {"aggrsup": True, "wweight": 0.6}, {"wweight": 0.6, "weightf": 2}):
+        expected = model.mine(lines, 3, **options)
+        assert run(spark, lines, support=3, **options) == (expected["patterns"], expected["outliers"])
+
+
+def test_a_scan_without_splits_is_dealt_out(spark, tmp_path):
+    log(spark, PUMPS * 10).coalesce(1).write.parquet(str(tmp_path / "x"))
+    m = mine(spark.read.parquet(str(tmp_path / "x")), MinerConfig(support=20))
+    assert m.lines.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert m.line_count == 40
 
 
 def test_properties(spark):
@@ -192,19 +227,19 @@ def test_report_order(spark):
 
 
 def test_no_python_on_the_default_path(spark):
-    m = mine(log(spark, DOWN), MinerConfig(support=2, aggrsup=True, wweight=0.5))
+    m = mine(log(spark, PUMPS), MinerConfig(support=2, aggrsup=True, wweight=0.5))
     for df in (m.vocabulary, m.reduced, m.candidates, m.final, m.outliers):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_lines_are_labelled_as_a_stream(spark, tmp_path):
-    m = mine(log(spark, DOWN), MinerConfig(support=3))
+    m = mine(log(spark, PUMPS), MinerConfig(support=3))
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "x.txt").write_text("Interface eth9 down\nsomething else\n")
+    (tmp_path / "in" / "x.txt").write_text("pump p9 stopped\nsomething else\n")
     m.clusters.write.parquet(str(tmp_path / "patterns"))
     lines = spark.readStream.text(str(tmp_path / "in")).selectExpr("0L AS line_id", "value")
-    labelled = label_stream(lines, ["Interface", "down"], spark.read.parquet(str(tmp_path / "patterns")), m.config)
+    labelled = label_stream(lines, ["pump", "stopped"], spark.read.parquet(str(tmp_path / "patterns")), m.config)
     q = labelled.writeStream.format("memory").queryName("labelled").trigger(availableNow=True).start()
     q.awaitTermination(60)
-    assert {r["value"]: r["words"] for r in spark.table("labelled").collect()} == {"Interface eth9 down": ["Interface", "down"], "something else": None}
+    assert {r["value"]: r["words"] for r in spark.table("labelled").collect()} == {"pump p9 stopped": ["pump", "stopped"], "something else": None}
