@@ -6,9 +6,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linestrata.sources.shared import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,16 +36,6 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 1024):
     return run
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate results that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``; only where that is unset
-    (single-machine tests) a folder inside the warehouse is taken.
-    """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
-
-
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back.
 
@@ -67,3 +59,22 @@ def drop_stored(spark: SparkSession) -> None:
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
+
+
+#: No more keys than this can have over one in this many of all rows.
+HOT_KEYS = 10_000
+
+
+def met(left: DataFrame, right: DataFrame, on: Column, n: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, in which ``n`` says how many rows of ``left`` a key has.
+
+    Keys with more than one in ``HOT_KEYS`` of all ``total`` rows, of which there
+    are at most ``HOT_KEYS``, are broadcast; the rows of ``left`` that have one
+    stay where they are.  Only the others are shuffled, so no task gets much
+    more than its share, whatever a key holds.  ``left`` is read twice.
+    """
+    bound = max(total // HOT_KEYS, 100)
+    hot, cold = F.broadcast(right.where(F.col(n) > bound)), right.where(F.col(n) <= bound)
+    here = left.join(hot, on, how)
+    rest = left.join(hot, on, "left_anti").join(cold, on, how)
+    return here.unionByName(rest)

@@ -3,22 +3,28 @@
 The lines of a document that aren't blank form its sequence.  A window is
 ``run`` consecutive lines of it.  Winnowing selects from every window the line
 with the smallest hash (the rightmost on a tie) as its fingerprint; neighbouring
-windows mostly select the same line, so a document has few fingerprints, and
-equal windows select equal fingerprints at equal places: whatever repeats over
+windows mostly select the same line, so a document has about one fingerprint for
+two lines, and equal windows select equal fingerprints: whatever repeats over
 ``run`` lines or more is guaranteed to be found.
 
-Positions are joined by fingerprint: first those fingerprints that occur once in
-the collection are dropped, then the windows of the others are compared with the
-earliest equal window (fingerprint, place in the window and hash of all lines).
-A match is extended both ways by taking together all matched windows that touch;
-the lines they cover are deleted.  So a line is deleted exactly if it lies in
-``run`` consecutive lines that also start earlier, in a document with a smaller
-id or further up in the same one.
-
-Only DataFrame functions are used.  What is shuffled per fingerprint or window
-is a few numbers; counts and earliest places are partial aggregates, and the
-joins on frequent keys can be split by skew handling.  Text is shuffled once, to
-meet the lines to delete.
+1.  A fingerprint is one row: the hash, its place, and what surrounds it: the
+    digests of the windows that selected it, which reach ``run - 1`` lines up and
+    down.  Nothing else of a text is stored.
+2.  Fingerprints that occur once in the collection are dropped.  In a collection
+    of mostly unlike lines these are nearly all, and none of their windows is
+    ever looked at.
+3.  From the others a match is extended both ways: their windows are compared
+    with the earliest equal one.  A digest has 128 bits, of two hashes of every
+    line, so a window that matches has the same lines.  Longer matches go on in
+    the fingerprints next to it.
+4.  The lines of matched windows are deleted.  So a line is deleted exactly if it
+    lies in ``run`` consecutive lines that also start earlier, in a document
+    with a smaller id or further up in the same one.
+
+Only DataFrame functions are used.  Counts and earliest places are partial
+aggregates; a fingerprint or window with a large share of all rows is joined by
+broadcast, and there are few of those (``common.met``), so no task gets all rows
+of one line.  Text is shuffled once, to meet the lines to delete.
 
 Defined results
     * null text stays null and has no lines; blank lines are never deleted and
@@ -37,7 +43,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linestrata.llm.common import stored, table
+from linestrata.llm.common import met, stored, table
 
 #: Consecutive lines that make a run.
 RUN = 3
@@ -51,58 +57,62 @@ def _filled(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def _windows(docs: DataFrame, run: int) -> DataFrame:
-    """One row per window: id, salt, start, pick (hash of the selected line), place (of
-    it in the window), fresh (the window before selected another line), window (hash
-    of all lines), lines (their numbers, blank lines counted)."""
-    numbered = F.transform(_lines(F.col("body")), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    filled = F.filter(numbered, lambda e: _filled(e["x"]))
-    sequences = (
-        docs.select("id", "salt", F.transform(filled, lambda e: F.struct(e["i"].alias("i"), F.xxhash64(e["x"]).alias("h"))).alias("s"))
-        .select("id", "salt", F.col("s.i").alias("i"), F.col("s.h").alias("h"))
-        .where(F.size("h") >= run)
-    )
+def _numbers(text: Column) -> Column:
+    """Numbers (from 0) of the lines that aren't blank."""
+    return F.filter(F.transform(_lines(text), lambda x, i: F.when(_filled(x), i)), lambda i: i.isNotNull())
+
+
+def _fingerprints(docs: DataFrame, run: int) -> DataFrame:
+    """id, salt, pick (hash of the selected line), start (place of the first window that
+    selected it), windows (digests of all that did, one after the other)."""
+    other = F.lit(0x9E3779B97F4A7C15 - (1 << 64))
+    filled = F.filter(_lines(F.col("body")), _filled)
+    sequences = docs.select("id", "salt", F.transform(filled, lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(other, x).alias("g"))).alias("s")).where(F.size("s") >= run)
 
     def window(at: Column) -> Column:
-        part = F.slice("h", at + 1, run)
-        pick = F.array_min(part)
+        part = F.slice("s.h", at + 1, run)
+        least = F.array_min(part)
         return F.struct(
-            at.alias("start"),
-            pick.alias("pick"),
-            (F.lit(run) - F.array_position(F.reverse(part), pick)).cast("int").alias("place"),
-            F.xxhash64(part).alias("window"),
-            F.slice("i", at + 1, run).alias("lines"),
+            (at + run - F.array_position(F.reverse(part), least)).cast("int").alias("at"),
+            least.alias("pick"),
+            F.struct(F.xxhash64(part).alias("a"), F.xxhash64(other, F.slice("s.g", at + 1, run)).alias("b")).alias("digest"),
         )
 
-    windows = sequences.select("id", "salt", F.transform(F.sequence(F.lit(0), F.size("h") - run), window).alias("w"))
+    windows = sequences.select("id", "salt", F.transform(F.sequence(F.lit(0), F.size("s") - run), window).alias("w"))
+    # places at which another line is selected than in the window before
+    fresh = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w.at", i) != F.get("w.at", i - 1)))
+    marked = windows.select("id", "salt", "w", fresh.alias("fresh"))
 
-    def fresh(w: Column, i: Column) -> Column:
-        return (i == 0) | (w["start"] + w["place"] != F.get("w", i - 1)["start"] + F.get("w", i - 1)["place"])
+    def one(start: Column, i: Column) -> Column:
+        n = F.coalesce(F.get("fresh", i + 1), F.size("w")) - start
+        return F.struct(F.get("w.pick", start).alias("pick"), start.alias("start"), F.slice("w.digest", start + 1, n).alias("windows"))
 
-    return windows.select("id", "salt", F.inline(F.arrays_zip("w", F.transform("w", fresh).alias("fresh")))).select("id", "salt", "fresh", "w.*")
+    return marked.select("id", "salt", F.inline(F.transform("fresh", one)))
 
 
 def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """id, salt, gone: numbers (from 0) of the lines to delete, in order.
+    """id, salt, gone: places in the sequence (from 0) of the lines to delete, in order.
 
     ``docs`` has columns id, salt (a hash of the text) and body.
     """
-    windows = stored(_windows(docs, run))
-    often = (
-        windows.where("fresh").groupBy(F.col("pick").alias("often")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("often")
+    found = stored(_fingerprints(docs, run))
+    total = found.count()
+    often = found.groupBy(F.col("pick").alias("often")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    seeds = stored(
+        met(found, often, F.col("pick") == F.col("often"), "n", total, "left_semi")
+        .select("id", "salt", "start", F.posexplode("windows").alias("k", "digest"))
+        .select(F.struct("id", "salt", (F.col("start") + F.col("k")).alias("start")).alias("at"), "digest.a", "digest.b")
     )
-    seeds = windows.join(often, F.col("pick") == F.col("often"), "left_semi")
-    at = F.struct("id", "salt", "start")
     earliest = (
-        seeds.groupBy(F.col("pick").alias("e_pick"), F.col("place").alias("e_place"), F.col("window").alias("e_window"))
-        .agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
+        seeds.groupBy(F.col("a").alias("e_a"), F.col("b").alias("e_b"))
+        .agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("e_pick", "e_place", "e_window", "first")
     )
-    matched = seeds.join(
-        earliest, (F.col("pick") == F.col("e_pick")) & (F.col("place") == F.col("e_place")) & (F.col("window") == F.col("e_window"))
-    ).where(~at.eqNullSafe(F.col("first")))
-    return matched.groupBy("id", "salt").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("gone"))
+    matched = met(seeds, earliest, (F.col("a") == F.col("e_a")) & (F.col("b") == F.col("e_b")), "n", seeds.count()).where(~F.col("at").eqNullSafe(F.col("first")))
+    # at most ``run`` numbers for each line of a document
+    starts = matched.groupBy("at.id", "at.salt").agg(F.collect_set("at.start").alias("starts"))
+    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + run - 1))))
+    return starts.select("id", "salt", F.array_sort(covered).alias("gone"))
 
 
 def _kept(lines: Column, gone: Column) -> Column:
@@ -122,13 +132,14 @@ def _with_kept(docs: DataFrame, run: int) -> DataFrame:
     gone = repeated_lines(salted.select("id", "salt", "body"), run).withColumnsRenamed({"id": "g_id", "salt": "g_salt"})
     none = F.array().cast("array<int>")
     joined = salted.join(gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("salt") == F.col("g_salt")), "left")
+    joined = joined.withColumn("filled", _numbers(F.col("body"))).withColumn("gone", F.transform("gone", lambda g: F.get("filled", g)))
     starts = F.filter("gone", lambda x, i: (i == 0) | (x != F.get("gone", i - 1) + 1))
     return (
-        joined.withColumn("n_lines", F.when(F.col("body").isNull(), 0).otherwise(F.size(F.filter(_lines(F.col("body")), _filled))).cast("long"))
+        joined.withColumn("n_lines", F.coalesce(F.size("filled"), F.lit(0)).cast("long"))
         .withColumn("n_removed", F.size(F.coalesce("gone", none)).cast("long"))
         .withColumn("n_runs", F.when(F.col("gone").isNull(), 0).otherwise(F.size(starts)).cast("long"))
         .withColumn("kept", F.when(F.col("gone").isNull(), F.col("body")).otherwise(_kept(_lines(F.col("body")), F.col("gone"))))
-        .drop("g_id", "g_salt", "salt", "gone")
+        .drop("g_id", "g_salt", "salt", "gone", "filled")
     )
 
 

@@ -95,6 +95,17 @@ def test_line_dedup(docs, rows, run):
     same(linededup.line_dedup(docs, run).collect(), want)
 
 
+def test_line_dedup_of_very_common_lines(spark):
+    rnd = random.Random(4)
+    line = lambda: " ".join(rnd.choice("abcdefgh") for _ in range(9))
+    passage = [line() for _ in range(4)]
+    rows = [(i, "\n".join([line(), "everywhere", *(passage if i % 2 else [line()]), "everywhere", line(), line()])) for i in range(400)]
+    gone = brute_lines(rows, 3)
+    got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {i: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i, t]) for i, t in rows}
+    assert sum(r["n_removed"] for r in got) >= 199 * 4
+
+
 def test_line_dedup_keeps_columns_and_drops_emptied(docs, rows):
     out = linededup.without_repeated_runs(docs)
     assert out.columns == docs.columns
