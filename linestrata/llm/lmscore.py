@@ -10,37 +10,50 @@ Training sees the whole collection:
 
 1.  Words are counted over all documents.  The most frequent ones are the
     vocabulary, a model parameter; other words fall into hash buckets.  The counts
-    of all words stay a stored table, which the words of a text outside the
-    vocabulary meet by a join; so two words of a bucket have their own scores.
+    of all words stay a stored table.
 2.  The model starts as the unigram model of those counts.
 3.  In each round every task runs minibatch steps (Adagrad, in numpy) over its
     part of the documents and sends back its parameters.  Every position is a
-    target once: a word isn't in its own window, so each is masked for itself.  They are averaged, weighted by words, with a partial
-    aggregate per parameter, so that no task and not the driver sees more than
-    one model at a time.  Every document belongs to exactly one round.
-
-Only the model (about 75,000 numbers, whatever the input) and the sizes of the
-buckets are collected and broadcast.  A lost task is trained again from the same model and rows.
+    target once: a word isn't in its own window, so each is masked for itself.
+    They are averaged, weighted by words, with a partial aggregate per parameter,
+    so that no task and not the driver sees more than one model at a time.  Every
+    document belongs to exactly one round.
+
+A word's share of its bucket is its part of the bucket's count.  For rare words
+(``RARE`` occurrences or fewer) it also depends on what the collection has
+elsewhere in the same place, between the same ``SIDE`` words on either side: of n
+other words of the bucket there, the word itself being c, the share is
+(count / bucket + c) / (1 + n), a mixture of both that sums to one over the words
+of a bucket.  A word never counts for itself.  This memory grows with the collection.
+
+Only the model (about 75,000 numbers, whatever the input), the sizes of the
+buckets and the counts of at most ``CACHED`` frequent words are collected and
+broadcast; the others meet their counts and places by a shuffle.  No word and no
+place can be common there: words are rare, and a place is cut by 1,024 buckets.
+A lost task is trained again from the same model and rows.
 
 Defined results
     * null, empty and blank text has no words: score 0 and no mean;
     * whole texts are trained on and scored, in slices of bounded memory;
     * a bucket keeps the mass of half an occurrence for words that were never counted;
-    * repeated rows get the same score, one row per input row; ids may be null;
+    * repeated rows get the same score up to the rounding of single precision, one
+      row per input row; ids may be null;
     * an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linestrata.llm.common import id_and_bytes, stored, table
@@ -68,6 +81,12 @@ STEP = 0.05
 #: Occurrences that a bucket has for words that weren't counted; the unigram model adds as many to each number.
 UNSEEN = 0.5
 ONES = np.ones(64, np.float32)
+#: Words of up to so many occurrences are held against other places like theirs.
+RARE = 64
+#: Words with more occurrences whose counts are sent to all tasks, the most frequent first.
+CACHED = 1 << 18
+#: A vocabulary entry is the number and, above these bits, the place of the word's count among those sent.
+NUMBER = (1 << 13) - 1
 
 
 class Model:
@@ -142,27 +161,27 @@ class Model:
         p2[rows, place] -= 1 / n
         dg = p2 @ self.to_place.T
         dh = (p1 @ self.to_class.T + dg) * (1 - h * h)
+        every = np.ones(len(target), np.float32)
+        of_class = np.zeros((len(target), CLASSES), np.float32)
+        of_class[rows, group] = 1
         grads = {
             "to_class": h.T @ p1,
-            "class_bias": p1.sum(0),
+            "class_bias": every @ p1,
             "to_place": g.T @ p2,
-            "scale": np.stack([(x * dh).sum(0) for x in e]),
-            "shift": dh.sum(0),
+            "scale": np.stack([every @ (x * dh) for x in e]),
+            "shift": every @ dh,
+            "class_embed": of_class.T @ dg,
+            "place_bias": of_class.T @ p2,
         }
-        for name, ids, values in (
-            ("class_embed", group, dg),
-            ("place_bias", group, p2),
-            ("embed", around.ravel(), (dh[:, None, :] * self.scale).reshape(-1, DIM)),
-        ):
-            order = np.argsort(ids.astype(np.int16), kind="stable")  # of 16 bits: a radix sort
-            ids = ids[order]
-            heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            part = np.add.reduceat(values[order], heads, axis=0)
-            at = ids[heads]
-            if name == "embed":
-                part, at = part[at != PAD], at[at != PAD]
-            memory[name][at] += part * part
-            self.arrays[name][at] -= rate * part / np.sqrt(memory[name][at] + 1e-8)
+        ids = around.ravel()
+        order = np.argsort(ids.astype(np.int16), kind="stable")  # of 16 bits: a radix sort
+        ids = ids[order]
+        heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        part = np.add.reduceat((dh[:, None, :] * self.scale).reshape(-1, DIM)[order], heads, axis=0)
+        at = ids[heads]
+        part, at = part[at != PAD], at[at != PAD]
+        memory["embed"][at] += part * part
+        self.embed[at] -= rate * part / np.sqrt(memory["embed"][at] + 1e-8)
         for name, grad in grads.items():
             memory[name] += grad * grad
             self.arrays[name] -= rate * grad / np.sqrt(memory[name] + 1e-8)
@@ -172,12 +191,15 @@ class Model:
 class Vocabulary(dict):
     """word -> number; words that aren't known get the number of a hash bucket.
 
-    ``counted`` (word, n) has all words; ``spread`` has by number the logarithm of what
-    the words of a bucket share, and 0 for known words.
+    A word whose count is among those sent has the place of the count above the
+    number.  ``counted`` (word, n) has all words; ``logs`` are the logarithms of
+    the counts sent, the first being 0, for known words; ``buckets`` are the sizes
+    of the buckets.
     """
 
     counted: DataFrame
-    spread: np.ndarray
+    logs: np.ndarray
+    buckets: np.ndarray
 
     def __missing__(self, word: bytes) -> int:
         return KNOWN + zlib.crc32(word) % (SIZE - KNOWN)
@@ -188,7 +210,7 @@ def words_of(body: bytes | None) -> list[bytes]:
 
 
 def windows(bodies: list[bytes | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One padded sequence of all texts; the positions of words; the words per text."""
+    """One padded sequence of all texts' entries; the positions of words; the words per text."""
     number = vocabulary.__getitem__
     gap = [PAD] * SIDE
     parts, sizes = [gap], []
@@ -202,6 +224,10 @@ def windows(bodies: list[bytes | None], vocabulary: Vocabulary) -> tuple[np.ndar
     return sequence, np.flatnonzero(sequence != PAD), np.array(sizes, np.int64)
 
 
+def numbers(sequence: np.ndarray) -> np.ndarray:
+    return sequence & NUMBER
+
+
 def slices(sequence: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     steps = np.array([k for k in range(-SIDE, SIDE + 1) if k])
     for i in range(0, len(at), SLICE):
@@ -236,8 +262,13 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Model]:
         counts[KNOWN + r["b"]] = r["n"]
     for r in top:
         counts[KNOWN + zlib.crc32(bytes(r["word"])) % (SIZE - KNOWN)] -= r["n"]
-    vocabulary.counted = counted
-    vocabulary.spread = np.where(np.arange(SIZE) < KNOWN, 0.0, np.log(counts + UNSEEN))
+    often = counted.where(F.col("n") > RARE).orderBy(F.desc("n"), "word").limit(CACHED).toArrow()  # CACHED rows at most
+    logs = [0.0]
+    for word, n in zip(often.column("word").to_pylist(), often.column("n").to_pylist()):
+        if word not in vocabulary:
+            vocabulary[word] = vocabulary[word] | len(logs) << 13
+            logs.append(math.log(n))
+    vocabulary.counted, vocabulary.logs, vocabulary.buckets = counted, np.array(logs), counts[KNOWN:] + UNSEEN
     model = Model.unigram(counts)
     sc = docs.sparkSession.sparkContext
     for k in range(rounds):
@@ -267,7 +298,7 @@ def _train(sent):
             for i in range(0, len(bodies), 512):
                 sequence, at, _ = windows(bodies[i : i + 512], vocabulary)
                 seen += len(at)
-                for around, target in slices(sequence, at):
+                for around, target in slices(numbers(sequence), at):
                     model.step(around, target, memory)
         if seen:
             out = np.append(model.flatten().astype(np.float64) * seen, float(seen))
@@ -276,47 +307,87 @@ def _train(sent):
     return run
 
 
-def score(df: DataFrame, vocabulary: Vocabulary, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def places(sequence: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For words of a bucket at positions ``at`` one number of the words around and the bucket; -1 at an edge of the text."""
+    steps = [k for k in range(-SIDE, SIDE + 1) if k]
+    found, edge = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+    for k in steps:
+        near = sequence[at + k]
+        edge |= near == PAD
+        found = found << 12 | near
+    found = found << 10 | (sequence[at] - KNOWN)
+    found[edge] = -1
+    return found
+
+
+def score(df: DataFrame, vocabulary: Vocabulary, model: Model, id_col: str = "doc_id", text_col: str = "text", trained: bool = False) -> DataFrame:
     """doc_id, n_tokens, log_prob (sum over all words), mean_log_prob of every row.
 
-    The network scores texts where they are; the words outside the vocabulary are then
-    shuffled, to meet their counts.
+    The network scores texts where they are; rare words are then shuffled, to meet
+    their counts and, if ``df`` is the collection that the model was ``trained`` on,
+    the places like theirs.
     """
     source = id_and_bytes(df, id_col, text_col)
-    sent = df.sparkSession.sparkContext.broadcast((dict(vocabulary), vocabulary.spread, model.flatten()))
+    sent = df.sparkSession.sparkContext.broadcast((dict(vocabulary), vocabulary.logs, vocabulary.buckets, model.flatten()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, spread, flat = sent.value
+        known, logs, buckets, flat = sent.value
         words, net = Vocabulary(known), Model.unflatten(flat)
+        spread = np.concatenate([np.zeros(KNOWN), np.log(buckets)])
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 bodies = part.column(1).to_pylist()
-                sequence, at, n = windows(bodies, words)
+                entries, at, n = windows(bodies, words)
+                sequence = numbers(entries)
                 parts = [net.log_probs(a, t) - spread[t] for a, t in slices(sequence, at)]
-                total = np.concatenate([[0.0], np.cumsum(np.concatenate(parts), dtype=np.float64)]) if parts else np.zeros(1)
+                own = np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
+                held = entries[at]
+                own += logs[held >> 13]
+                rare = np.flatnonzero((held >= KNOWN) & (held < SIZE))
                 ends = np.cumsum(n)
-                rare = [[w for w in words_of(body) if w not in known] for body in bodies]
-                heads = np.cumsum([0, *map(len, rare)])
-                rare = pa.ListArray.from_arrays(pa.array(heads, pa.int32()), pa.array(chain.from_iterable(rare), pa.binary()))
+                begins = ends - n
+                total = np.zeros(len(n))
+                total[n > 0] = np.add.reduceat(own, begins[n > 0]) if len(own) else 0
+                # the rare words of each text, in order
+                bounds = np.searchsorted(rare, np.append(begins, ends[-1:]))
+                hashes: list[int] = []
+                for k, body in enumerate(bodies):
+                    if bounds[k] < bounds[k + 1]:
+                        listed = words_of(body)
+                        hashes += map(xxhash.xxh64_intdigest, map(listed.__getitem__, (rare[bounds[k] : bounds[k + 1]] - begins[k]).tolist()), repeat(42))
+                lists = pa.ListArray.from_arrays(
+                    pa.array(bounds, pa.int32()),
+                    pa.StructArray.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(places(sequence, at[rare]))], ["w", "place"]),
+                )
                 rows = pa.array(np.arange(row, row + len(n)))
                 row += len(n)
-                yield pa.RecordBatch.from_arrays([rows, part.column(0), pa.array(n), pa.array(total[ends] - total[ends - n]), rare], ["row", "doc_id", "n_tokens", "net", "rare"])
+                yield pa.RecordBatch.from_arrays([rows, part.column(0), pa.array(n), pa.array(total), lists], ["row", "doc_id", "n_tokens", "net", "rare"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
     # stored, as the numbers of rows hold for one run only
-    scored = stored(source.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, net double, rare array<binary>"))
-    shares = (
-        scored.select(F.col("row").alias("of"), F.explode("rare").alias("w"))
-        .join(vocabulary.counted, F.col("w") == F.col("word"), "left")
-        .groupBy("of")
-        .agg(F.sum(F.log(F.coalesce("n", F.lit(UNSEEN)))).alias("share"))
-    )
+    scored = stored(source.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, net double, rare array<struct<w: long, place: long>>"))
+    counted = vocabulary.counted.select(F.xxhash64("word").alias("word"), "n")  # XXH64 with seed 42
+    rare = scored.select(F.col("row").alias("of"), F.inline("rare")).join(counted, F.col("w") == F.col("word"), "left").withColumn("n", F.coalesce("n", F.lit(UNSEEN)))
+    share = F.log("n")
+    if trained:
+        size = F.get(F.lit(vocabulary.buckets.tolist()), F.col("place").bitwiseAND(F.lit(SIZE - KNOWN - 1)).cast("int"))
+        # at an edge a place of its own; one exchange and one sort serve both counts
+        alone = F.when(F.col("place") < 0, -1 - F.monotonically_increasing_id()).otherwise(F.col("place"))
+        rare = (
+            rare.select("of", "n", "w", alone.alias("place"), size.alias("size"))
+            .repartition("place")
+            .withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("place", "w")) - 1)
+            .withColumn("others", F.count(F.lit(1)).over(Window.partitionBy("place")) - 1)
+        )
+        share = F.log((F.col("n") + F.col("same") * F.coalesce("size", F.lit(0.0))) / (1 + F.col("others")))
+    shares = rare.select("of", share.alias("share"))
+    summed = shares.groupBy("of").agg(F.sum("share").alias("share"))
     total = F.col("net") + F.coalesce("share", F.lit(0.0))
     return (
         scored.select("row", "doc_id", "n_tokens", "net")
-        .join(shares, F.col("row") == F.col("of"), "left")
+        .join(summed, F.col("row") == F.col("of"), "left")
         .select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))
     )
 
@@ -324,7 +395,7 @@ def score(df: DataFrame, vocabulary: Vocabulary, model: Model, id_col: str = "do
 def pseudo_likelihood(df: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on all of ``df`` and score all of it."""
     vocabulary, model = fit(id_and_bytes(df, id_col, text_col), rounds)
-    return score(df, vocabulary, model, id_col, text_col)
+    return score(df, vocabulary, model, id_col, text_col, trained=True)
 
 
 def op6_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

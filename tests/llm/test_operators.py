@@ -369,6 +369,84 @@ def test_language_model_trains_on_every_word(rows, monkeypatch):
     assert trained == Counter(vocabulary[w] for _, t in rows for w in lmscore.words_of(encoded(t)))
 
 
+def test_language_model_remembers_places(spark):
+    """Rare words between the same neighbours elsewhere, against a plain count."""
+    bucket = lambda w: zlib.crc32(w.encode()) % (lmscore.SIZE - lmscore.KNOWN)
+    a, b, c = [w for w in (f"rare{i}" for i in range(20_000)) if bucket(w) == 7][:3]
+    other = next(w for w in (f"odd{i}" for i in range(100)) if bucket(w) != 7)
+    often = " ".join(f"w{i}" for i in range(lmscore.KNOWN))
+    rows = [(i, often) for i in range(8)]
+    texts = [f"w1 w2 {a} w3 w4", f"w1 w2 {a} w3 w4", f"w1 w2 {b} w3 w4 {a} w5 w6", f"w1 w2 {other} w3 w4", f"{a} w1", f"w9 w2 {c} w3 w4", "w1"]
+    rows += [(10 + i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    vocabulary, model = lmscore.fit(lmscore.id_and_bytes(df))
+    plain = {r["doc_id"]: r["log_prob"] for r in lmscore.score(df, vocabulary, model).collect()}
+    got = {r["doc_id"]: r["log_prob"] for r in lmscore.score(df, vocabulary, model, trained=True).collect()}
+    n = Counter(w for _, t in rows for w in t.split())
+    size = sum(k for w, k in n.items() if bucket(w) == 7 and not w.startswith("w")) + lmscore.UNSEEN
+    counted = Counter()
+    for _, t in rows:
+        w = t.split()
+        counted.update((*w[i - 2 : i], *w[i + 1 : i + 3], bucket(w[i]), w[i]) for i in range(2, len(w) - 2) if w[i][0] != "w")
+    for i, t in rows:
+        w, gain = t.split(), 0.0
+        for k in range(2, len(w) - 2):
+            if w[k][0] == "w":
+                continue
+            place = (*w[k - 2 : k], *w[k + 1 : k + 3], bucket(w[k]))
+            same, others = counted[*place, w[k]] - 1, sum(x for p, x in counted.items() if p[:5] == place) - 1
+            gain += np.log((n[w[k]] + same * size) / (1 + others) / n[w[k]])
+        assert got[i] - plain[i] == pytest.approx(gain, abs=1e-6)
+    assert got[10] == pytest.approx(got[11]) and got[13] == pytest.approx(plain[13])
+
+
+def test_language_model_counts_sent_or_joined(spark, rows, monkeypatch):
+    df = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows)], "doc_id long, text string").repartition(2)
+    sent = None
+    for rare, cached in ((1_000_000, 0), (0, 1 << 18), (0, 5)):
+        monkeypatch.setattr(lmscore, "RARE", rare)
+        monkeypatch.setattr(lmscore, "CACHED", cached)
+        monkeypatch.setattr(lmscore, "KNOWN", 3072)
+        vocabulary, _ = lmscore.fit(lmscore.id_and_bytes(df), rounds=1)
+        words = sorted({w for _, t in rows for w in lmscore.words_of(encoded(t))})
+        few = lmscore.Vocabulary({w: i for i, w in enumerate(words[:4])} | {w: v for w, v in vocabulary.items() if v > lmscore.NUMBER})
+        few.counted, few.logs, few.buckets = vocabulary.counted, vocabulary.logs, np.full(1024, 50.0)
+        got = {r["doc_id"]: r["log_prob"] for r in lmscore.score(df, few, lmscore.Model.unigram(np.ones(lmscore.SIZE))).collect()}
+        assert sent is None or got == pytest.approx(sent)
+        sent = got
+
+
+def test_language_model_against_plain_loops():
+    rng = np.random.default_rng(3)
+    model = lmscore.Model.unigram(rng.integers(1, 50, lmscore.SIZE))
+    for k in ("class_embed", "shift"):
+        model.arrays[k] += rng.normal(0, 0.2, lmscore.SHAPES[k]).astype(np.float32)
+    ids = rng.integers(0, lmscore.SIZE, 9)
+    sequence = np.concatenate([[lmscore.PAD] * 2, ids, [lmscore.PAD] * 2])
+    (around, target), = lmscore.slices(sequence, np.flatnonzero(sequence != lmscore.PAD))
+    got = model.log_probs(around, target)
+    m = {k: v.astype(np.float64) for k, v in model.arrays.items()}
+    softmax = lambda x: x - np.log(np.exp(x).sum())
+    for i, t in enumerate(ids):
+        near = [sequence[2 + i + k] for k in (-2, -1, 1, 2)]
+        h = np.tanh(sum(m["embed"][w] * m["scale"][k] for k, w in enumerate(near)) + m["shift"])
+        c, p = divmod(int(t), 64)
+        want = softmax(h @ m["to_class"] + m["class_bias"])[c] + softmax((h + m["class_embed"][c]) @ m["to_place"] + m["place_bias"][c])[p]
+        assert got[i] == pytest.approx(want, abs=1e-4)
+    # one step from an empty memory moves every parameter against its gradient, whose size the memory holds
+    before, memory = model.copy(), {k: np.zeros(s, np.float32) for k, s in lmscore.SHAPES.items()}
+    model.step(around, target, memory)
+    for name, shape in lmscore.SHAPES.items():
+        used = np.flatnonzero(memory[name].ravel() > 1e-6)
+        for at in rng.choice(used, min(6, len(used)), replace=False):
+            moved = [before.copy(), before.copy()]
+            for one, step in zip(moved, (1e-2, -1e-2)):
+                one.arrays[name].reshape(-1)[at] += step
+            slope = -(moved[0].log_probs(around, target).mean() - moved[1].log_probs(around, target).mean()) / 2e-2
+            assert np.sqrt(memory[name].ravel()[at]) == pytest.approx(abs(slope), rel=0.05, abs=2e-4)
+            assert (model.arrays[name].ravel()[at] < before.arrays[name].ravel()[at]) == (slope > 0)
+
+
 def test_language_model_rows(docs, rows, empty):
     got = lmscore.pseudo_likelihood(docs).collect()
     assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((i, len(encoded(t).split())) for i, t in rows)
