@@ -43,10 +43,7 @@ Defined results
 
 from __future__ import annotations
 
-import ctypes
-import glob
 import math
-import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -191,16 +188,6 @@ class Model:
         return float(logp.mean())
 
 
-def one_thread() -> None:
-    """Let numpy's OpenBLAS use one thread: on small matrices the threads of a task only wait for each other."""
-    for file in glob.glob(os.path.join(os.path.dirname(np.__file__) + ".libs", "*openblas*")):
-        library = ctypes.CDLL(file)
-        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
-            if hasattr(library, name):
-                getattr(library, name)(1)
-                break
-
-
 class Vocabulary(dict):
     """word -> number; words that aren't known get the number of a hash bucket.
 
@@ -302,7 +289,6 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Model]:
 
 def _train(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one_thread()
         known, flat = sent.value
         vocabulary, model = Vocabulary(known), Model.unflatten(flat)
         memory = {k: np.zeros(s, np.float32) + np.float32(1e-6) for k, s in SHAPES.items()}
@@ -345,7 +331,6 @@ def score(df: DataFrame, vocabulary: Vocabulary, model: Model, id_col: str = "do
     sent = df.sparkSession.sparkContext.broadcast((dict(vocabulary), vocabulary.logs, vocabulary.buckets, model.flatten()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one_thread()
         known, logs, buckets, flat = sent.value
         words, net = Vocabulary(known), Model.unflatten(flat)
         spread = np.concatenate([np.zeros(KNOWN), np.log(buckets)])
