@@ -22,8 +22,8 @@ Defined results
 
 from __future__ import annotations
 
-import base64
 import math
+import os
 import zlib
 from array import array
 from dataclasses import dataclass
@@ -36,9 +36,10 @@ from pyspark.sql import functions as F
 from linestrata.llm.common import id_and_bytes, per_batch, table
 
 END = 2
-#: Entries of a worker's cache of encoded words (about 200 bytes each); it is emptied when full.
-CACHE = 250_000
-LONG = 64
+#: Entries of a worker's cache of encoded words (about 200 bytes each) beyond which it is emptied.
+CACHE = 1_000_000
+#: Unknown words that are encoded at once; the library takes longer for each the more there are.
+TOGETHER = 100
 SPECIAL = "<|endoftext|>"
 
 
@@ -52,69 +53,76 @@ class Capacity:
     rule: str = "norm"  # or "dot"
 
 
-class _Irregular(Exception):
-    """The text can't be encoded word by word."""
-
-
-class _Words(dict):
-    def __init__(self, encode, lead: str):
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, word: str) -> bytes:
-        if not word or word.isspace() or len(word.split()) != 1 or word.strip() != word or SPECIAL in word:
-            raise _Irregular
-        ids = array("I", self.encode(self.lead + word)).tobytes()
-        if len(word) <= LONG:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class ByteLevelEncoder:
-    """Ids of a byte-level BPE vocabulary as unsigned 32-bit little-endian bytes.
+    """Ids of a byte-level BPE tokenizer as unsigned 32-bit little-endian bytes.
 
-    Words are encoded one by one and kept: the splitting pattern never lets a
-    token reach over a single space or line break between two non-blanks, save
-    that a space belongs to the word behind it.  Any other text (runs of blanks,
-    other white space, special strings) is encoded as a whole.
+    The ids of words are kept: the splitting pattern never lets a token reach over
+    a single space or line break between two non-blanks, save that a space belongs
+    to the word behind it.  Words that aren't known yet are encoded together, one
+    on a line.  Any other text (runs of blanks, other white space, special strings)
+    is encoded as a whole.
     """
 
-    def __init__(self, ranks_file: str):
-        import public_tokenizers
-        import tiktoken
-
-        with open(ranks_file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.library = tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
-        self.first = _Words(self.library.encode_ordinary, "")
-        self.later = _Words(self.library.encode_ordinary, " ")
-        self.newline = array("I", self.library.encode_ordinary("\n")).tobytes()
+    def __init__(self, file: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(file)
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
+        self.newline = self.library.encode("\n", add_special_tokens=False).ids
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
+        new = [w for w in words if w and w.split() == [w] and SPECIAL not in w]
+        for k in range(0, len(new), TOGETHER):
+            part = new[k : k + TOGETHER]
+            ids = self.library.encode("\n".join([lead + w for w in part]), add_special_tokens=False).ids
+            at = 0
+            for word in part[:-1]:
+                end = ids.index(self.newline[0], at)
+                known[word] = array("I", ids[at:end]).tobytes()
+                at = end + 1
+            known[part[-1]] = array("I", ids[at:]).tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = [[line.split(" ") for line in text.split("\n")] for text in texts]
+        heads, others = set(), set()
+        for lines in split:
+            for words in lines:
+                heads.add(words[0])
+                others.update(words[1:])
+        for known, words, lead in ((self.first, heads, ""), (self.later, others, " ")):
+            if len(known) > CACHE:
+                known.clear()
+            self._learn(known, words.difference(known), lead)
+        first, later, newline, out = self.first.__getitem__, self.later.__getitem__, array("I", self.newline).tobytes(), []
+        for text, lines in zip(texts, split):
+            try:
+                parts: list[bytes] = []
+                for words in lines:
+                    parts.append(first(words[0]))
+                    parts.extend(map(later, words[1:]))
+                    parts.append(newline)
+                parts.pop()
+                out.append(b"".join(parts))
+            except KeyError:
+                out.append(self._ids(text))
+        return out
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        try:
-            out: list[bytes] = []
-            first, later = self.first.__getitem__, self.later.__getitem__
-            for line in text.split("\n"):
-                words = line.split(" ")
-                out.append(first(words[0]))
-                out.extend(map(later, words[1:]))
-                out.append(self.newline)
-            out.pop()
-            return b"".join(out)
-        except _Irregular:
-            return array("I", self.library.encode(text, allowed_special={SPECIAL})).tobytes()
+        return self.encode_all([text])[0]
 
 
 _loaded: dict[str, ByteLevelEncoder] = {}
 
 
-def encoder(ranks_file: str) -> ByteLevelEncoder:
-    if ranks_file not in _loaded:
-        _loaded[ranks_file] = ByteLevelEncoder(ranks_file)
-    return _loaded[ranks_file]
+def encoder(file: str) -> ByteLevelEncoder:
+    if file not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
+        _loaded[file] = ByteLevelEncoder(file)
+    return _loaded[file]
 
 
 def pack(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray]:
@@ -164,10 +172,10 @@ def pieces(df: DataFrame, ranks_file: str, limit: int, end: int = END, id_col: s
     tail = array("I", [end]).tobytes()
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = encoder(ranks_file).encode
+        texts = [(body or b"").decode("utf-8", "replace") for body in batch.column(1).to_pylist()]
         rows, piece, start, length, crc = [], [], [], [], []
-        for k, body in enumerate(batch.column(1).to_pylist()):
-            ids = encode((body or b"").decode("utf-8", "replace")) + tail
+        for k, ids in enumerate(encoder(ranks_file).encode_all(texts)):
+            ids += tail
             n = len(ids) // 4
             at, number = 0, 0
             size = n if n <= limit else n % limit or limit
@@ -185,7 +193,7 @@ def pieces(df: DataFrame, ranks_file: str, limit: int, end: int = END, id_col: s
 
     source = id_and_bytes(df, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(per_batch(one), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(per_batch(one, 512), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(
@@ -215,9 +223,10 @@ def pack_documents(
 
 
 def ranks_file() -> str:
+    """The tokenizer of the registered query and the pipeline."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op7_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
