@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,59 +57,65 @@ class Capacity:
 class ByteLevelEncoder:
     """Ids of a byte-level BPE tokenizer as unsigned 32-bit little-endian bytes.
 
-    The ids of words are kept: the splitting pattern never lets a token reach over
-    a single space or line break between two non-blanks, save that a space belongs
-    to the word behind it.  Words that aren't known yet are encoded together, one
-    on a line.  Any other text (runs of blanks, other white space, special strings)
-    is encoded as a whole.
+    The splitting pattern never lets a token reach over a single space or line
+    break between two non-blanks, save that a space belongs to the word behind it.
+    So texts are cut into words, each with the space or line break before it;
+    the different words of a batch are found by Arrow, the ids of words are kept,
+    and those not known yet are encoded in groups, one on a line.  Texts with
+    anything else in them (runs of blanks, other white space, special strings) are
+    encoded as a whole.
     """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
         self.newline = self.library.encode("\n", add_special_tokens=False).ids
-
-    def _ids(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        new = [w for w in words if w and w.split() == [w] and SPECIAL not in w]
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        """``words`` begin with a line break, or stand for themselves behind a space."""
+        new, lines, starts = [], [], []
+        for w in words:
+            after_break = w[:1] == "\n"
+            body = w[1:] if after_break else w
+            if body and body.split() == [body] and SPECIAL not in body:
+                new.append(w)
+                lines.append(body if after_break else " " + body)
+                starts.append(self.newline if after_break else [])
         for k in range(0, len(new), TOGETHER):
-            part = new[k : k + TOGETHER]
-            ids = self.library.encode("\n".join([lead + w for w in part]), add_special_tokens=False).ids
+            ids = self.library.encode("\n".join(lines[k : k + TOGETHER]), add_special_tokens=False).ids + self.newline
             at = 0
-            for word in part[:-1]:
+            for word, start in zip(new[k : k + TOGETHER], starts[k : k + TOGETHER]):
                 end = ids.index(self.newline[0], at)
-                known[word] = array("I", ids[at:end]).tobytes()
+                self.known[word] = array("I", start + ids[at:end]).tobytes()
                 at = end + 1
-            known[part[-1]] = array("I", ids[at:]).tobytes()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [[line.split(" ") for line in text.split("\n")] for text in texts]
-        heads, others = set(), set()
-        for lines in split:
-            for words in lines:
-                heads.add(words[0])
-                others.update(words[1:])
-        for known, words, lead in ((self.first, heads, ""), (self.later, others, " ")):
-            if len(known) > CACHE:
-                known.clear()
-            self._learn(known, words.difference(known), lead)
-        first, later, newline, out = self.first.__getitem__, self.later.__getitem__, array("I", self.newline).tobytes(), []
-        for text, lines in zip(texts, split):
-            try:
-                parts: list[bytes] = []
-                for words in lines:
-                    parts.append(first(words[0]))
-                    parts.extend(map(later, words[1:]))
-                    parts.append(newline)
-                parts.pop()
-                out.append(b"".join(parts))
-            except KeyError:
-                out.append(self._ids(text))
+        if not texts:
+            return []
+        cut = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        bounds = cut.offsets.to_numpy()
+        words = cut.flatten().dictionary_encode()
+        different = words.dictionary.to_pylist()
+        if len(self.known) > CACHE:
+            self.known.clear()
+        self._learn([w for w in different if w not in self.known])
+        ids = list(map(self.known.get, different))
+        odd = np.array([x is None for x in ids])
+        length = np.array([len(x) if x else 0 for x in ids], np.int64)
+        which = words.indices.to_numpy()
+        offsets = np.concatenate([[0], np.cumsum(length)])
+        every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join([x or b"" for x in ids]))])
+        data = memoryview(every.take(words.indices).buffers()[2] or b"")
+        ends = np.concatenate([[0], np.cumsum(length[which])])[bounds].tolist()
+        odds = np.concatenate([[0], np.cumsum(odd[which])])[bounds]
+        out = []
+        for text, a, b, whole in zip(texts, ends, ends[1:], np.diff(odds).tolist()):
+            if whole:
+                out.append(array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes())
+            else:
+                out.append(bytes(data[a + 4 : b]))  # without the line break put in front
         return out
 
     def encode(self, text: str) -> bytes:
@@ -193,7 +200,7 @@ def pieces(df: DataFrame, ranks_file: str, limit: int, end: int = END, id_col: s
 
     source = id_and_bytes(df, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(per_batch(one, 512), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(per_batch(one, 2048), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(
