@@ -42,6 +42,11 @@ CACHE = 1_000_000
 #: Unknown words that are encoded at once; the library takes longer for each the more there are.
 TOGETHER = 100
 SPECIAL = "<|endoftext|>"
+#: What may stand behind letters without being part of a special string.
+TRAILING = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+#: Byte-level BPE writes bytes as characters, those that can't be shown as the ones from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 @dataclass(frozen=True)
@@ -60,10 +65,11 @@ class ByteLevelEncoder:
     The splitting pattern never lets a token reach over a single space or line
     break between two non-blanks, save that a space belongs to the word behind it.
     So texts are cut into words, each with the space or line break before it;
-    the different words of a batch are found by Arrow, the ids of words are kept,
-    and those not known yet are encoded in groups, one on a line.  Texts with
-    anything else in them (runs of blanks, other white space, special strings) are
-    encoded as a whole.
+    the different words of a batch are found by Arrow, and the ids of words are
+    kept.  Of those not known yet, letters and letters with punctuation behind them
+    go to the tokenizer's model (the pattern splits them there and nowhere else),
+    others are encoded in groups, one on a line.  Texts with anything else in them
+    (runs of blanks, other white space, special strings) are encoded as a whole.
     """
 
     def __init__(self, file: str):
@@ -72,14 +78,31 @@ class ByteLevelEncoder:
         self.library = Tokenizer.from_file(file)
         self.newline = self.library.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def _piece(self, text: str) -> bytes:
+        """The ids of a stretch that the pattern doesn't split."""
+        return array("I", [t.id for t in self.library.model.tokenize(text.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+
+    def _tail(self, text: str) -> bytes:
+        if text not in self.tails:
+            if len(self.tails) > CACHE:
+                self.tails.clear()
+            self.tails[text] = self._piece(text)
+        return self.tails[text]
 
     def _learn(self, words: list[str]) -> None:
         """``words`` begin with a line break, or stand for themselves behind a space."""
         new, lines, starts = [], [], []
+        newline = array("I", self.newline).tobytes()
         for w in words:
             after_break = w[:1] == "\n"
             body = w[1:] if after_break else w
-            if body and body.split() == [body] and SPECIAL not in body:
+            letters = body.rstrip(TRAILING)
+            if letters.isalpha():
+                found = newline + self._piece(letters) if after_break else self._piece(" " + letters)
+                self.known[w] = found + self._tail(body[len(letters) :]) if len(letters) < len(body) else found
+            elif body and body.split() == [body] and SPECIAL not in body:
                 new.append(w)
                 lines.append(body if after_break else " " + body)
                 starts.append(self.newline if after_break else [])

@@ -504,6 +504,14 @@ def test_packing_encodes_like_the_library():
     for _ in range(3000):
         t = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
         assert list(array("I", own.encode(t))) == library.encode(t, add_special_tokens=False).ids
+    letters = "abcXYZéßñøłжд日ªⅣ²٣'’s"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 7))) + "".join(rnd.choice(packing.TRAILING + "<>|'") for _ in range(rnd.randint(0, 3))) for _ in range(4000)]
+    texts = [t + rnd.choice([" ", "\n", ""]) + u for t, u in zip(texts, reversed(texts))]
+    assert own.encode_all(texts) == [array("I", library.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    words = ["\n" + t if rnd.random() < 0.3 else t for t in texts if " " not in t and "\n" not in t]
+    own._learn(words)
+    assert all(list(array("I", own.known[w])) == library.encode(w if w[0] == "\n" else " " + w, add_special_tokens=False).ids for w in words if w in own.known)
+    assert len(own.known) > 1000
 
 
 # ---------------------------------------------------------------- 8
