@@ -3,7 +3,9 @@
 A document's zstandard ratio (bytes in / bytes out) must lie in a band, for the
 whole document and for fixed chunks.  Longer text compresses better, so the
 whole-document band depends on the length: its limits are interpolated over the
-logarithm of the byte count.  Chunks have one length and hence one band.
+logarithm of the byte count.  Chunks have one length and hence one band; the last
+one is the end of the text, whatever it overlaps.  A text shorter than a chunk is
+one chunk, with the limits of its length.
 
 Defined results
     * null text has no words and so fails the base rules, like empty text;
@@ -55,7 +57,7 @@ class Bands:
     chunk_bytes: int = 2048
     chunk_low: float = 1.35
     chunk_high: float = 2.21
-    #: The document is rejected if this share of its whole chunks is out of band ...
+    #: The document is rejected if this share of its chunks is out of band ...
     chunk_share: float = 0.5
     #: ... or if any one chunk compresses beyond this ratio.
     chunk_extreme: float = 3.0
@@ -107,7 +109,10 @@ def measure(body: bytes | None, bands: Bands, compressor: zstandard.ZstdCompress
     if body:
         ratio = len(body) / len(compressor.compress(body))
         size = bands.chunk_bytes
-        chunks = [size / len(compressor.compress(body[i : i + size])) for i in range(0, len(body) - size + 1, size)]
+        begins = [*range(0, len(body) - size + 1, size)]
+        if begins and len(body) % size:
+            begins.append(len(body) - size)  # the end of the text, which overlaps the chunk before
+        chunks = [size / len(compressor.compress(body[i : i + size])) for i in begins]
         if chunks:
             odd = sum(not bands.chunk_low <= x <= bands.chunk_high for x in chunks) / len(chunks)
             extreme = max(chunks)
