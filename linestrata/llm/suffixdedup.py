@@ -293,6 +293,18 @@ def equal_windows(rows: np.ndarray, bucket: np.ndarray, low: np.ndarray, high: n
             yield c, has[later], first[later]
 
 
+def _twins(batch: pa.RecordBatch, last: pa.RecordBatch | None) -> np.ndarray:
+    """Rows of a place that the row before (``last`` before the first) is of too."""
+    key = ["bucket", "doc_id", "salt", "place"]
+    t = pa.Table.from_batches([*([last] if last is not None else []), batch]).select(key).combine_chunks()
+    twin = np.zeros(t.num_rows, bool)
+    twin[1:] = True
+    for column in ([t.column(c).to_numpy()] if c != "doc_id" else _sortable(t.column(c).chunk(0)) for c in key):
+        for values in column:
+            twin[1:] &= values[1:] == values[:-1]
+    return twin if last is None else twin[1:]
+
+
 def _sort_buckets(length: int, gram: int, block: int):
     lead = length - gram  # column of the minimizer
     width = -(-(lead + length) // 8) * 8
@@ -300,13 +312,6 @@ def _sort_buckets(length: int, gram: int, block: int):
     def solve(t: pa.Table) -> pa.RecordBatch:
         place, bucket, salt = (t.column(c).to_numpy() for c in ("place", "bucket", "salt"))
         ids = pa.concat_arrays(t.column("doc_id").chunks)
-        twin = np.zeros(len(place), bool)  # equal rows are one document: each place once
-        twin[1:] = True
-        for key in (place, bucket, salt, *_sortable(ids)):
-            twin[1:] &= key[1:] == key[:-1]
-        if twin.any():
-            t = t.filter(pa.array(~twin))
-            place, bucket, salt, ids = place[~twin], bucket[~twin], salt[~twin], ids.filter(pa.array(~twin))
         start, offset, more = place >> 16, (place >> 8) & 255, place & 255
         rows = np.zeros((len(place), width), np.uint8)
         low = lead - offset
@@ -334,9 +339,12 @@ def _sort_buckets(length: int, gram: int, block: int):
         """
         held: list[pa.RecordBatch] = []
         n = 0
+        last: pa.RecordBatch | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
+            own = batch.filter(pa.array(~_twins(batch, last)))  # equal rows are one document, each place once
+            last, batch = batch.slice(batch.num_rows - 1), own
             held.append(batch)
             n += batch.num_rows
             if n < block:
