@@ -6,9 +6,12 @@ the text read so far that occurs in some item are known after every word.  Where
 that length reaches the window (eight words, or the whole of a shorter item) the
 words of the window are hit, and the state tells which items have it.
 
-The items are the only data sent to every task.  Their size is checked: they are
-cut into automata of at most ``max_shard_words`` words, and a task holds one
-automaton at a time, so a benchmark of any size works, only slower.
+The items are the only data sent to every task, and their size is checked: an
+automaton has at most ``max_shard_words`` words (0.6 KB of memory each; 0.13 GB at
+the default).  A benchmark of that size is scanned for in one pass without a
+shuffle.  A larger one takes a pass for each automaton, which driver and tasks
+hold one at a time, and the spans and items that the passes found in a document
+meet by a shuffle; so a benchmark of any size works, only slower.
 
 Defined results
     * null or wordless text has no words, no hits, and isn't contaminated;
@@ -23,15 +26,19 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linestrata.llm.common import id_and_bytes, per_batch, table
+from linestrata.llm.common import id_and_bytes, per_batch, stored, table
 
 WINDOW = 8
+#: Words of one automaton.
+SHARD_WORDS = 200_000
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Lower-cases A-Z and turns every other byte outside words into a space, byte for byte.
 FOLD = bytes(
@@ -162,65 +169,102 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def automata(spark: SparkSession, items: DataFrame, window: int, max_shard_words: int, id_col: str, text_col: str) -> list:
-    """Broadcasts of pickled automata; the driver holds one shard of the items at a time."""
-    found, held, n = [], [], 0
+def shards(items: DataFrame, max_shard_words: int, id_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items in groups of about ``max_shard_words`` words; the driver holds one at a time."""
     rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t")).where("t is not null")
-
-    def close() -> None:
-        if held:
-            found.append(spark.sparkContext.broadcast(pickle.dumps(SuffixAutomaton(held, window))))
-            held.clear()
-
+    held, n = [], 0
     for row in rows.toLocalIterator():
         words = words_of(bytes(row["t"]))
         if words:
             held.append((row["i"] if row["i"] is not None else "", words))
             n += len(words)
         if n >= max_shard_words:
-            close()
-            n = 0
-    close()
-    return found
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
-def _scanner(shards: list):
-    """bodies -> per body (words, merged hit spans, items)."""
-    loaded: list = []
+def _scanner(sent):
+    """bodies -> per body (words, merged hit spans, items) for one automaton; it is unpickled once a task."""
+    loaded: list[SuffixAutomaton] = []
 
     def scan(bodies: list[bytes | None]) -> list[tuple[list[bytes], list[tuple[int, int]], set[str]]]:
-        words = [words_of(b) for b in bodies]
-        spans: list[list] = [[] for _ in bodies]
-        items: list[set[str]] = [set() for _ in bodies]
-        for shard in shards:
-            if len(shards) > 1 or not loaded:
-                loaded[:] = [pickle.loads(shard.value)]
-            for k, w in enumerate(words):
-                s, i = loaded[0].scan(w)
-                if s:
-                    spans[k] += s
-                    items[k] |= i
-        return [(w, merged(s), i) for w, s, i in zip(words, spans, items)]
+        if not loaded:
+            loaded.append(pickle.loads(sent.value))
+        out = []
+        for body in bodies:
+            words = words_of(body)
+            spans, items = loaded[0].scan(words)
+            out.append((words, merged(spans), items))
+        return out
 
     return scan
 
 
+def _found(spans: list | None, items: list | None, body: bytes | None) -> tuple[list[bytes], list[tuple[int, int]], set[str]]:
+    """The same from what several passes have found."""
+    return words_of(body), merged((s["a"], s["b"]) for s in spans or ()), set(items or ())
+
+
+def _scanned(source: DataFrame, key: str, text: str, items: DataFrame, window: int, max_shard_words: int, item_id_col: str, item_text_col: str):
+    """``source``, and a function from a batch of it to (words, spans, items) for each row.
+
+    For a benchmark of several automata ``source`` has got columns with what was found.
+    """
+    sc = source.sparkSession.sparkContext
+    groups = shards(items, max_shard_words, item_id_col, item_text_col)
+    first = next(groups, [])
+    second = next(groups, None)
+    sent = sc.broadcast(pickle.dumps(SuffixAutomaton(first, window)))
+    if second is None:
+        scan = _scanner(sent)
+        return source, lambda batch: scan(batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist())
+    keyed = source.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("body")).withColumn("salt", F.xxhash64("body"))
+    kind = keyed.schema["k"].dataType.simpleString()
+    passes = []
+    for group in chain([None, second], groups):
+        if group is not None:
+            sent = sc.broadcast(pickle.dumps(SuffixAutomaton(group, window)))
+        scan = _scanner(sent)
+
+        def one(batch: pa.RecordBatch, scan=scan) -> pa.RecordBatch:
+            rows = scan(batch.column(1).to_pylist())
+            spans = [[{"a": a, "b": b} for a, b in s] for _, s, _ in rows]
+            columns = [batch.column(0), batch.column(2), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array([sorted(i) for _, _, i in rows], pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(columns, ["k", "salt", "spans", "items"]).filter(pa.array([bool(s) for s in spans], pa.bool_()))
+
+        # equal rows find the same
+        passes.append(stored(keyed.mapInArrow(per_batch(one), f"k {kind}, salt long, spans array<struct<a: int, b: int>>, items array<string>").dropDuplicates(["k", "salt"])))
+        sent.unpersist()
+    together = reduce(DataFrame.unionByName, passes).groupBy(F.col("k").alias("f_key"), F.col("salt").alias("f_salt")).agg(
+        F.flatten(F.collect_list("spans")).alias("f_spans"), F.flatten(F.collect_list("items")).alias("f_items")
+    )
+    joined = source.join(together, F.col(key).eqNullSafe(F.col("f_key")) & (F.xxhash64(F.col(text).cast("binary")) == F.col("f_salt")), "left").drop("f_key", "f_salt")
+
+    def read(batch: pa.RecordBatch):
+        spans, found, bodies = (batch.column(batch.schema.get_field_index(c)) for c in ("f_spans", "f_items", text))
+        return map(_found, spans.to_pylist(), found.to_pylist(), bodies.cast(pa.binary()).to_pylist())
+
+    return joined, read
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,
     window: int = WINDOW,
     min_items: int = 2,
-    max_shard_words: int = 2_000_000,
+    max_shard_words: int = SHARD_WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
-    scan = _scanner(automata(docs.sparkSession, items, window, max_shard_words, item_id_col, item_text_col))
+    source, read = _scanned(id_and_bytes(docs, id_col, text_col), "doc_id", "body", items, window, max_shard_words, item_id_col, item_text_col)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = scan(batch.column(1).to_pylist())
+        rows = list(read(batch))
         digests = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for _, _, i in rows]
         return pa.RecordBatch.from_arrays(
             [
@@ -234,7 +278,6 @@ def contamination(
             ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
         )
 
-    source = id_and_bytes(docs, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(per_batch(one), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
@@ -244,21 +287,23 @@ def remove_leaks(
     items: DataFrame,
     window: int = WINDOW,
     max_coverage: float = 0.5,
-    max_shard_words: int = 2_000_000,
+    max_shard_words: int = SHARD_WORDS,
+    id_col: str = "doc_id",
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
     """``docs`` without hit spans, and without documents hit in more than ``max_coverage`` of their words."""
-    scan = _scanner(automata(docs.sparkSession, items, window, max_shard_words, item_id_col, item_text_col))
     names = docs.columns
     plain = [f"c{i}" for i in range(len(names))]
     k = names.index(text_col)
+    carried = docs.toDF(*plain).withColumn(plain[k], F.col(plain[k]).cast("string"))
+    source, read = _scanned(carried, plain[names.index(id_col)], plain[k], items, window, max_shard_words, item_id_col, item_text_col)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         bodies = batch.column(k).cast(pa.binary()).to_pylist()
         keep, texts = [], []
-        for body, (words, spans, _) in zip(bodies, scan(bodies)):
+        for body, (words, spans, _) in zip(bodies, read(batch)):
             hit = sum(b - a for a, b in spans)
             keep.append(not hit or hit <= max_coverage * len(words))
             if hit and keep[-1]:
@@ -270,12 +315,11 @@ def remove_leaks(
                     left = at[b - 1][1]
                 body = b"".join([*kept, body[left:]])
             texts.append(body)
-        columns = batch.columns
+        columns = batch.columns[: len(names)]
         columns[k] = pa.array(texts, pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep, pa.bool_()))
+        return pa.RecordBatch.from_arrays(columns, plain).filter(pa.array(keep, pa.bool_()))
 
-    source = docs.toDF(*plain).withColumn(plain[k], F.col(plain[k]).cast("string"))
-    return source.mapInArrow(per_batch(one), source.schema).toDF(*names)
+    return source.mapInArrow(per_batch(one), carried.schema).toDF(*names)
 
 
 def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,6 +246,29 @@ def test_quality_rejects_both_ends(spark):
     assert {r["doc_id"] for r in quality.compression_bands(df).collect() if r["kept"]} == set()
 
 
+def test_quality_judges_the_end_of_a_text(spark):
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(2, 9))) for _ in range(900)]
+    prose = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    fine = prose(1100)
+    lines = "\n".join(f"item {k} of the list" for k in range(60))
+    df = spark.createDataFrame([(1, fine), (2, fine[: -len(fine) % 2048 - 1700] + " " + lines[:1500])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality.compression_bands(df).collect()}
+    bands = quality.Bands()
+    import zstandard
+
+    for i, t in df.collect():
+        body, size = t.encode(), bands.chunk_bytes
+        parts = [body[k : k + size] for k in range(0, len(body) - size + 1, size)] + ([body[-size:]] if len(body) % size else [])
+        ratio = lambda x: len(x) / len(zstandard.ZstdCompressor(level=bands.level).compress(x))
+        ratios = [ratio(x) for x in parts]
+        odd = sum(not bands.chunk_low <= x <= bands.chunk_high for x in ratios) / len(ratios)
+        low, high = bands.limits(len(body))
+        assert got[i]["odd_chunk_share"] == pytest.approx(odd) and got[i]["ratio"] == pytest.approx(ratio(body))
+        assert max(ratios) == ratios[-1] or i == 1  # the repetitive end is a chunk
+        assert not got[i]["base_failed"] and got[i]["kept"] == (low <= ratio(body) <= high and odd < bands.chunk_share and max(ratios) <= bands.chunk_extreme)
+
+
 def test_keep_good(docs):
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns
@@ -569,6 +592,16 @@ def test_repeated_bytes(spark, rows, options):
     same(suffixdedup.repeated_bytes(df, **options).collect(), [(r[0], *want[r]) for r in rows])
 
 
+def test_repeated_bytes_of_many_equal_rows(spark):
+    rnd = random.Random(8)
+    stem = "".join(rnd.choice("abcdefgh ") for _ in range(260))
+    changed = stem[:130] + "#" + stem[131:]
+    rows = [(1, stem)] * 150 + [(None, changed)] * 150 + [(2, changed[100:])] * 3
+    want = brute_repeats(rows, 100)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same(suffixdedup.repeated_bytes(df, sort_rows=10).collect(), [(r[0], *want[r]) for r in rows])
+
+
 def test_suffix_ranks():
     rnd = np.random.default_rng(3)
     rows = rnd.integers(97, 99, (60, 64)).astype(np.uint8)
@@ -617,6 +650,9 @@ def test_leaks_are_cut_out(spark):
     df = spark.createDataFrame([(1, "Clean text, all of it"), (2, "before it. ONE two; three four five six\nseven eight nine! after " + "more " * 9), (3, item), (4, None)], "doc_id long, text string")
     out = {r[0]: r[1] for r in decontaminate.remove_leaks(df, spark.createDataFrame([(1, item)], "item_id int, text string")).collect()}
     assert out == {1: "Clean text, all of it", 2: "before it. ! after " + "more " * 9, 4: None}
+    items = spark.createDataFrame([(k, w) for k, w in enumerate([item, "nothing", "all of it", "one two"])], "item_id int, text string")
+    cut = lambda n: sorted(map(repr, decontaminate.remove_leaks(df, items, max_shard_words=n).collect()))
+    assert cut(1) == cut(4) == cut(1000)
 
 
 def test_automaton_against_substrings():
