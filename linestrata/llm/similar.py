@@ -8,7 +8,7 @@ blocks of bits, so shards are made of content:
 
 1.  Every document has ``BANDS`` keys, each from the minima of its shingle hashes
     under two hash functions.  Documents of the least similarity share one with
-    a probability of 0.9997.  Equal shingle sets are one node.
+    a probability of 0.999995.  Equal shingle sets are one node.
 2.  The nodes of a key form a shard with a BK-tree over their fingerprints.  The
     nodes within the radius are candidates.  Sketches (512 slots, standard error
     0.018) skip those that are ``MARGIN`` and more below the threshold; all others
@@ -16,11 +16,19 @@ blocks of bits, so shards are made of content:
     from the texts of those nodes that share a key.  Nodes met while the tree grows are linked at once; only
     nodes outside the largest linked set search the tree.
 3.  A shard over ``shard_limit`` nodes becomes several trees.  When components are
-    known, the nodes outside its largest one search all its trees; those inside
-    need not, as links between them join nothing.
+    known, a shard that turns out to be one component is done: links inside it
+    join nothing.  Others, in which unlike texts meet, are cut by ``FINER`` further
+    minima, of which documents of the least similarity share one with a
+    probability of 0.999997; so unlike texts part, instead of each searching all
+    trees of the shard.  Only what is still too large (texts that agree in three
+    minima) is searched whole, by the nodes outside its largest component.
 4.  Components are found by star contraction, and the row of the smallest id of
     each stays.
 
+At this radius the edges of a BK-tree exclude hardly any node, so a tree costs about
+as much as comparing with each of its 512 nodes; its size bounds the work, not its
+edges.
+
 Defined results
     * texts without words (null, empty, blank) are one node; a text with fewer
       words than a shingle is one shingle;
@@ -31,7 +39,6 @@ Defined results
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -41,12 +48,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linestrata.llm.common import id_and_bytes, per_batch, stored
+from linestrata.llm.common import id_and_bytes, met, per_batch, stored
 from linestrata.llm.components import components
 from linestrata.llm.simhash import SEED, SLICE, BKTree
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, SLOTS = 8, 512
+BANDS, SLOTS = 12, 512
+#: Further minima, by which large shards are cut.
+FINER = 8
 #: Bits: nearly all pairs of the least similarity are within it, unrelated ones are at 32 +- 4.
 RADIUS = 24
 #: By how much an estimate must be below the threshold to decide: over five standard errors.
@@ -54,7 +63,7 @@ MARGIN = 0.1
 SHARD_LIMIT = 512
 
 _rng = np.random.default_rng(52)
-_FACTORS = _rng.integers(0, 1 << 63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = _rng.integers(0, 1 << 63, 2 * BANDS + FINER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(body: bytes | None, words_per_shingle: int = WORDS) -> np.ndarray:
@@ -78,14 +87,15 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
+def band_keys(hashes: np.ndarray) -> tuple[list[int], list[int]]:
+    """Keys of the bands, and the further minima."""
     if not len(hashes):
-        return []
-    least = np.full(2 * BANDS, np.uint64(2**64 - 1))
+        return [], []
+    least = np.full(2 * BANDS + FINER, np.uint64(2**64 - 1))
     for at in range(0, len(hashes), SLICE):
         least = np.minimum(least, (hashes[at : at + SLICE, None] * _FACTORS).min(0))
-    pairs = least.reshape(BANDS, 2)
-    return [xxhash.xxh3_64_intdigest(pairs[j].tobytes(), j) - (1 << 63) for j in range(BANDS)]
+    pairs = least[: 2 * BANDS].reshape(BANDS, 2)
+    return [xxhash.xxh3_64_intdigest(pairs[j].tobytes(), j) - (1 << 63) for j in range(BANDS)], least[2 * BANDS :].view(np.int64).tolist()
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -193,7 +203,9 @@ def _link_shards(radius: int, similarity: float):
                     now, linker, grown = (key, sub), _Linker(radius, similarity), False
                 fp &= (1 << 64) - 1
                 if asks:
-                    grown = True  # the tree has been searched by its own nodes before
+                    if not grown:
+                        linker.close()
+                    grown = True
                     linker.ask(node, fp, sk, sh)
                 else:
                     linker.add(node, fp, sk, sh)
@@ -209,25 +221,27 @@ def _link_shards(radius: int, similarity: float):
 
 
 def _documents(df: DataFrame, words_per_shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, salt, node, fp, keys, sketch."""
+    """doc_id, salt, node, fp, keys, finer, sketch."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, fps, keys, sketches = [], [], [], []
+        nodes, fps, keys, finer, sketches = [], [], [], [], []
         for body in batch.column(1).to_pylist():
             h = shingle_set(body, words_per_shingle)
             nodes.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
             f = fingerprint(h)
             fps.append(f - (1 << 64) if f >> 63 else f)
-            keys.append(band_keys(h))
+            bands, more = band_keys(h)
+            keys.append(bands)
+            finer.append(more)
             sketches.append(sketch(h))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-            ["doc_id", "salt", "node", "fp", "keys", "sketch"],
+            [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, finer)), pa.array(sketches, pa.binary())],
+            ["doc_id", "salt", "node", "fp", "keys", "finer", "sketch"],
         )
 
     source = id_and_bytes(df, id_col, text_col).withColumn("salt", F.xxhash64("body"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(per_batch(one), f"doc_id {kind}, salt long, node long, fp long, keys array<long>, sketch binary")
+    return source.mapInArrow(per_batch(one), f"doc_id {kind}, salt long, node long, fp long, keys array<long>, finer array<long>, sketch binary")
 
 
 def _shingles(texts: DataFrame, words_per_shingle: int) -> DataFrame:
@@ -243,7 +257,7 @@ def _shingles(texts: DataFrame, words_per_shingle: int) -> DataFrame:
 def node_components(nodes: DataFrame, texts: DataFrame, words_per_shingle: int, radius: int, similarity: float, shard_limit: int) -> DataFrame:
     """node, root of the nodes that are linked to others.
 
-    ``nodes`` has node, fp, keys, sketch, doc_id, salt; ``texts`` has t_id, t_salt, body.
+    ``nodes`` has node, fp, keys, finer, sketch, doc_id, salt; ``texts`` has t_id, t_salt, body.
     """
     link = lambda rows: (
         rows.repartition("key", "sub")
@@ -260,32 +274,47 @@ def node_components(nodes: DataFrame, texts: DataFrame, words_per_shingle: int,
     sets = _shingles(bodies, words_per_shingle).dropDuplicates(["node"]).withColumnRenamed("node", "h_node")
     whole = stored(nodes.select("node", "fp", "sketch").join(sets, F.col("node") == F.col("h_node")).drop("h_node"))
     trees = F.ceil(F.col("n") / shard_limit)
-    met = stored(
-        shared.join(whole, F.col("s_node") == F.col("node")).select(
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """The nodes of ``rows`` (key, n, s_node) with all that their trees need."""
+        return rows.join(whole, F.col("s_node") == F.col("node")).select(
             "key", "n", F.pmod(F.xxhash64("key", "node"), trees).alias("sub"), F.lit(False).alias("asks"), "node", "fp", "sketch", "shingles"
         )
-    )
-    edges = stored(link(met))
+
+    edges = stored(link(dealt(shared)))
+    large = shared.where(F.col("n") > shard_limit).select("key", "n", "s_node")
     found = components(edges)
-    large = met.where(F.col("n") > shard_limit)
     if large.isEmpty():
         return found
-    found = stored(found)
-    placed = stored(
-        large.join(found.select(F.col("node").alias("f_node"), "root"), F.col("node") == F.col("f_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("f_node")
+    found = stored(found.select(F.col("node").alias("f_node"), "root"))
+    placed = stored(large.join(found, F.col("s_node") == F.col("f_node"), "left").select("key", "n", "s_node", F.coalesce("root", "s_node").alias("root")))
+    several = F.min("root") < F.max("root")
+    mixed = placed.groupBy(F.col("key").alias("m_key")).agg(F.count(F.lit(1)).alias("m"), several.alias("mixed")).where("mixed")
+    parts = (
+        met(placed, mixed, F.col("key") == F.col("m_key"), "m", placed.count(), "left_semi")
+        .join(nodes.select("node", "finer"), F.col("s_node") == F.col("node"))
+        .select("key", "s_node", "root", F.posexplode("finer").alias("j", "least"))
+        .select(F.xxhash64("key", "j", "least").alias("key"), "s_node", "root")
     )
+    parts = stored(parts)
+    kept = parts.groupBy(F.col("key").alias("m_key")).agg(F.count(F.lit(1)).alias("n"), several.alias("mixed")).where("mixed").drop("mixed")
+    again = stored(met(parts, kept, F.col("key") == F.col("m_key"), "n", parts.count()).select("key", "n", "s_node", "root"))
+    whole_again = again.where(F.col("n") > shard_limit)
     top = (
-        placed.groupBy("key", "root")
+        whole_again.groupBy("key", "root")
         .agg(F.count(F.lit(1)).alias("c"))
         .groupBy(F.col("key").alias("t_key"))
-        .agg(F.max(F.struct("c", "root")).alias("t"))
-        .select("t_key", F.col("t.root").alias("top"))
+        .agg(F.max(F.struct("c", "root")).alias("t"), F.sum("c").alias("m"))
+        .select("t_key", F.col("t.root").alias("top"), "m")
     )
-    outside = placed.join(top, F.col("key") == F.col("t_key")).where(F.col("root") != F.col("top"))
-    asking = outside.select(
-        "key", "n", F.explode(F.sequence(F.lit(0).cast("long"), trees - 1)).alias("sub"), F.lit(True).alias("asks"), "node", "fp", "sketch", "shingles", F.col("sub").alias("own")
-    ).where("sub <> own")
-    more = link(large.unionByName(asking.drop("own")))
+    outside = met(whole_again, top, F.col("key") == F.col("t_key"), "m", again.count()).where(F.col("root") != F.col("top")).select("key", "n", "s_node")
+    asking = (
+        dealt(outside)
+        .select("key", "n", F.explode(F.sequence(F.lit(0).cast("long"), trees - 1)).alias("sub"), F.lit(True).alias("asks"), "node", "fp", "sketch", "shingles", F.col("sub").alias("own"))
+        .where("sub <> own")
+        .drop("own")
+    )
+    more = link(dealt(again.select("key", "n", "s_node")).unionByName(asking))
     return components(edges.unionByName(more))
 
 
@@ -299,21 +328,14 @@ def one_of_each(
     text_col: str = "text",
 ) -> DataFrame:
     """``df`` with one row of every component of similar documents."""
-    if not 0 < similarity <= 1 or not 0 <= radius <= 64:
-        raise ValueError("similarity: over 0, up to 1; radius: 0 to 64")
     names = df.columns
     plain = [f"c{i}" for i in range(len(names))]
     source = df.toDF(*plain)
     key, text = plain[names.index(id_col)], plain[names.index(text_col)]
-    found = stored(_documents(source, words_per_shingle, key, text))
-    nodes = found.select("node", "fp", "keys", "sketch", "doc_id", "salt").dropDuplicates(["node"])
-    texts = source.select(F.col(key).alias("t_id"), F.col(text).cast("binary").alias("body")).withColumn("t_salt", F.xxhash64("body"))
-    roots = node_components(nodes, texts, words_per_shingle, radius, similarity, shard_limit)
-    rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "salt")
-    least = found.groupBy(F.col("node").alias("l_node")).agg(F.min(rank).alias("first"))
+    found, roots = _rooted(source, words_per_shingle, similarity, radius, shard_limit, key, text)
     chosen = (
-        least.join(roots, F.col("l_node") == F.col("node"), "left")
-        .groupBy(F.coalesce("root", "l_node").alias("of"))
+        _firsts(found, roots)
+        .groupBy("of")
         .agg(F.min("first").alias("first"))
         .select(F.col("first.doc_id").alias("kept_id"), F.col("first.salt").alias("kept_salt"))
     )
@@ -322,6 +344,35 @@ def one_of_each(
     return kept.dropDuplicates([key, "salt"]).drop("salt").toDF(*names)
 
 
-def expected_bits(similarity: float) -> float:
-    """Bits in which fingerprints of two equally large sets of this Jaccard similarity differ on average."""
-    return 64 * math.acos(2 * similarity / (1 + similarity)) / math.pi
+def classes(
+    df: DataFrame,
+    words_per_shingle: int = WORDS,
+    similarity: float = SIMILARITY,
+    radius: int = RADIUS,
+    shard_limit: int = SHARD_LIMIT,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its component that isn't null) of every row."""
+    found, roots = _rooted(df, words_per_shingle, similarity, radius, shard_limit, id_col, text_col)
+    firsts = _firsts(found, roots)
+    least = firsts.groupBy(F.col("of").alias("l_of")).agg(F.min("first.doc_id").alias("class_id"))
+    named = firsts.join(least, F.col("of") == F.col("l_of")).select("l_node", "class_id")
+    return found.join(named, F.col("node") == F.col("l_node")).select("doc_id", "class_id")
+
+
+def _rooted(source: DataFrame, words_per_shingle: int, similarity: float, radius: int, shard_limit: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with their nodes, and the roots of nodes that are linked to others."""
+    if not 0 < similarity <= 1 or not 0 <= radius <= 64:
+        raise ValueError("similarity: over 0, up to 1; radius: 0 to 64")
+    found = stored(_documents(source, words_per_shingle, key, text))
+    nodes = found.select("node", "fp", "keys", "finer", "sketch", "doc_id", "salt").dropDuplicates(["node"])
+    texts = source.select(F.col(key).alias("t_id"), F.col(text).cast("binary").alias("body")).withColumn("t_salt", F.xxhash64("body"))
+    return found, node_components(nodes, texts, words_per_shingle, radius, similarity, shard_limit)
+
+
+def _firsts(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """l_node, first (its row of the smallest id, nulls last), of (its component)."""
+    rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "salt")
+    least = found.groupBy(F.col("node").alias("l_node")).agg(F.min(rank).alias("first"))
+    return least.join(roots, F.col("l_node") == F.col("node"), "left").select("l_node", "first", F.coalesce("root", "l_node").alias("of"))

@@ -199,6 +199,50 @@ def test_similar_documents_at_the_threshold(spark):
     assert sorted(r["doc_id"] for r in similar.one_of_each(df).collect()) == want
 
 
+@pytest.mark.parametrize("limit", [512, 6])
+def test_similar_documents_recall(spark, limit, capsys):
+    """Every pair of similarity 0.8 or more of a whole table, by band of similarity."""
+    rnd = random.Random(limit)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7))) for _ in range(2000)]
+    made = []
+    for _ in range(150):  # beside the table's documents, copies with a few words changed
+        base = [rnd.choice(words) for _ in range(rnd.choice([60, 200, 600]))]
+        for changes in (0, rnd.randint(1, len(base) // 40)):
+            t = list(base)
+            for _ in range(changes):
+                t[rnd.randrange(len(t))] = "changed"
+            made.append((10_000 + len(made), " ".join(t)))
+    df = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text")
+    df = df.unionByName(spark.createDataFrame(made, "doc_id long, text string").repartition(3))
+    rows = df.collect()
+    sets = {r["doc_id"]: set(similar.shingle_set(encoded(r["text"])).tolist()) for r in rows}
+    holders = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    common = Counter((a, b) for held in holders.values() if len(held) < 400 for k, a in enumerate(held) for b in held[k + 1 :])
+    alike = {(a, b): n / (len(sets[a]) + len(sets[b]) - n) for (a, b), n in common.items()}
+    got = {r["doc_id"]: r["class_id"] for r in similar.classes(df, shard_limit=limit).collect()}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1.01)):
+        found = [got[a] == got[b] for (a, b), x in alike.items() if low <= x < high]
+        with capsys.disabled():
+            print(f" similarity {low} to {min(high, 1)}: {sum(found)} of {len(found)} pairs together")
+        assert len(found) > 5 and all(found)
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (a, b), x in alike.items():
+        if x >= 0.8:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    empty = [i for i, s in sets.items() if not s]
+    assert {i: c for i, c in got.items() if i not in empty} == {i: root(i) for i in sets if i not in empty}
+
+
 def test_similarity_estimate():
     rnd = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):
