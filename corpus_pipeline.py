@@ -3,16 +3,23 @@
 Every stage takes (spark, docs, sf_dir), works on all that the stage before it
 kept, and is written as Parquet and read again before the next one.  All but the
 last return the columns of ``documents``.
+
+Defined results
+    * null texts are rejected by the first stage, like all texts of under 20 words;
+    * null ids are ids like any other, save that near dedup keeps another row of a
+      component if there is one;
+    * equal rows are one document for line dedup and leave one row behind near dedup;
+    * long texts are taken whole by every stage; an empty table gives an empty result;
+    * other columns stay as they are, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from linestrata.llm import decontaminate, linededup, packing, quality, similar
-from linestrata.llm.common import shared_folder, table
+from linestrata.llm.common import table
+from linestrata.sources.shared import drop_folders, made_folders, new_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +60,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; what the stages before it wrote is deleted once it is read."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/linestrata-pipeline-{uuid.uuid4().hex}"
-    for number, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}-{name}"
+    before = None
+    for name, stage in STAGES:
+        others = set(made_folders())
+        path = new_folder(spark, f"pipeline-{name}-")
         stage(spark, docs, sf_dir).write.parquet(path)
+        used = [f for f in made_folders() if f not in others and f != path]
+        drop = [*used, *([before] if before else [])]
+        if drop:
+            drop_folders(spark, *drop)
+        before = path
         docs = spark.read.parquet(path)
     return docs

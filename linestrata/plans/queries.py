@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +16,7 @@ from linestrata.operators.vocabulary import occurrences, sketch_slot, word_sketc
 from linestrata.plans import oracle as o
 from linestrata.plans.config import MinerConfig
 from linestrata.plans.miner import MiningResult, mine
-from linestrata.sources.shared import shared_folder
+from linestrata.sources.shared import new_folder
 from linestrata.sources.text import from_dataframe, read_lines
 
 # ---------------------------------------------------------------- logs
@@ -140,7 +139,7 @@ def _counters(m: MiningResult) -> DataFrame:
 def _written(df: DataFrame, name: str) -> DataFrame:
     """The lines of a text file that ``df`` was written to."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/linestrata-{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, f"{name}-")
     df.write.text(path)
     return spark.read.text(path, lineSep="\n")
 
@@ -546,7 +545,7 @@ register(
 
 def files_in_order(spark: SparkSession, d: str) -> DataFrame:
     """ord, value of urls written to three folders and read by a glob, by name (a second time), and from a file that isn't there."""
-    folder = f"{shared_folder(spark)}/linestrata-files-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "files-")
     pages_log(spark, d).select((F.col("line_id") % 3).alias("part"), "value").write.partitionBy("part").text(folder)
     parts = [f"{folder}/part={k}" for k in range(3)]
     lines = read_lines(spark, [parts[1], f"{folder}/none-*", parts[0], parts[2], parts[1]])
