@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linestrata.sources.shared import shared_folder
+from linestrata.sources.shared import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,27 +39,14 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back.
 
     Cuts the lineage: what is lost with an executor is read again, not computed
-    again.  ``drop_stored`` deletes the tables that a session has written.
+    again.  The tables are deleted by ``drop_folders``, or when the program ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/linestrata-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     schema = df.schema
     df.write.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-_written: list[str] = []
-
-
-def drop_stored(spark: SparkSession) -> None:
-    """Delete the tables of ``stored``; frames built on them can't be used any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
 #: No more keys than this can have over one in this many of all rows.
 HOT_KEYS = 10_000
 
