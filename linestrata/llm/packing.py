@@ -26,6 +26,7 @@ import math
 import os
 import zlib
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +39,7 @@ from linestrata.llm.common import id_and_bytes, per_batch, table
 
 END = 2
 #: Entries of a worker's cache of encoded words (about 200 bytes each) beyond which it is emptied.
-CACHE = 1_000_000
+CACHE = 300_000
 #: Unknown words that are encoded at once; the library takes longer for each the more there are.
 TOGETHER = 100
 SPECIAL = "<|endoftext|>"
@@ -47,6 +48,7 @@ TRAILING = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Byte-level BPE writes bytes as characters, those that can't be shown as the ones from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+SPACE = chr(BYTE_CHARS[32])
 
 
 @dataclass(frozen=True)
@@ -76,13 +78,18 @@ class ByteLevelEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
+        self.model = self.library.model
         self.newline = self.library.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
     def _piece(self, text: str) -> bytes:
         """The ids of a stretch that the pattern doesn't split."""
-        return array("I", [t.id for t in self.library.model.tokenize(text.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(BYTE_CHARS)
+        elif text[0] == " ":
+            text = SPACE + text[1:]
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def _tail(self, text: str) -> bytes:
         if text not in self.tails:
@@ -144,6 +151,11 @@ class ByteLevelEncoder:
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
+    def forget(self) -> None:
+        """Give back the memory of kept words."""
+        self.known.clear()
+        self.tails.clear()
+
 
 _loaded: dict[str, ByteLevelEncoder] = {}
 
@@ -221,9 +233,15 @@ def pieces(df: DataFrame, ranks_file: str, limit: int, end: int = END, id_col: s
             ["doc_id", "piece", "start", "length", "ids_crc32"],
         )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from per_batch(one)(batches)
+        finally:
+            encoder(ranks_file).forget()  # a worker outlives its tasks
+
     source = id_and_bytes(df, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(per_batch(one, 2048), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(
