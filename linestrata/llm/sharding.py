@@ -17,7 +17,10 @@ Slots are gapless from 0 within a shard.  They are numbered without bringing a
 shard to one task: records are cut into fine buckets by a prefix of the key's
 digest, buckets are counted (at most shards x 16**prefix counts, whatever the
 input), a running sum over those counts gives each bucket's first slot, and only
-rows of one bucket are ranked together.
+rows of one bucket are ranked together.  A bucket that holds more than one in
+``HOT_KEYS`` of all rows (a null key, or one that is repeated very often) is cut
+again by the whole digest and the part of the input that a row came from, whose
+counts are summed in the same way; so rows of one key are numbered by many tasks.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linestrata.llm.common import table
+from linestrata.llm.common import HOT_KEYS, stored, table
 
 SHARDS = 40
 OVERHEAD = 16
 #: Hex digits of the key's digest that name a bucket.
 BUCKET_DIGITS = 3
+#: Parts of the input by which a crowded bucket is cut.
+PARTS = 4096
 
 
 def _score(key: Column, shard: Column, weight: Column) -> Column:
@@ -55,10 +60,14 @@ def assign_shards(
     df: DataFrame,
     weights: Sequence[float],
     grown_weight: float = 1.0,
+    hot_rows: int = 100_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``df``."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``df``.
+
+    A bucket of up to ``hot_rows`` rows is never cut again.
+    """
     n = len(weights)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = (
@@ -81,18 +90,39 @@ def assign_shards(
             F.substring("digest", 1, BUCKET_DIGITS).alias("bucket"),
         )
     )
-    firsts = (
+    firsts = stored(
         rows.groupBy("shard", "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            F.col("shard").alias("in_shard"),
-            F.col("bucket").alias("in_bucket"),
-            (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("first"),
-        )
+        .select(F.col("shard").alias("in_shard"), F.col("bucket").alias("in_bucket"), "n", (_running(["shard"], ["bucket"]) - F.col("n")).alias("first"))
+    )
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = firsts.where(F.col("n") > max(total // HOT_KEYS, hot_rows)).select("in_shard", "in_bucket")  # HOT_KEYS rows at most
+    here = (F.col("shard") == F.col("in_shard")) & (F.col("bucket") == F.col("in_bucket"))
+    order = ["digest", "doc_id", "size", "text_crc32"]
+    if hot.isEmpty():
+        return _numbered(rows, firsts, here, ["shard", "bucket"], order)
+    cold = _numbered(rows.join(F.broadcast(hot), here, "left_anti"), firsts, here, ["shard", "bucket"], order)
+    # stored, as the part of the input must not change
+    crowded = stored(rows.join(F.broadcast(hot), here, "left_semi").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS))))
+    finer = (
+        crowded.groupBy("shard", "bucket", "digest", "part")
+        .agg(F.count(F.lit(1)).alias("m"))
+        .withColumn("before", _running(["shard", "bucket"], ["digest", "part"], "m") - F.col("m"))
+        .join(firsts, here)
+        .select("in_shard", "in_bucket", F.col("digest").alias("in_digest"), F.col("part").alias("in_part"), (F.col("first") + F.col("before")).alias("first"))
     )
-    within = Window.partitionBy("shard", "bucket").orderBy("digest", "doc_id", "size", "text_crc32")
-    ranked = rows.withColumn("rank", F.row_number().over(within))
-    return ranked.join(firsts, (F.col("shard") == F.col("in_shard")) & (F.col("bucket") == F.col("in_bucket"))).select(
+    there = here & (F.col("digest") == F.col("in_digest")) & (F.col("part") == F.col("in_part"))
+    return cold.unionByName(_numbered(crowded, finer, there, ["shard", "bucket", "digest", "part"], ["doc_id", "size", "text_crc32"]))
+
+
+def _running(by: list[str], order: list[str], n: str = "n") -> Column:
+    return F.sum(n).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def _numbered(rows: DataFrame, firsts: DataFrame, on: Column, by: list[str], order: list[str]) -> DataFrame:
+    """The result, with slots counted from each group's first one."""
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return ranked.join(firsts, on).select(
         "doc_id",
         "size",
         "text_crc32",

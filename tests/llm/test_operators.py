@@ -335,6 +335,21 @@ def test_sharding(docs, rows):
     assert rows_of(out[[*key, "grown_shard"]].rename(columns={"grown_shard": "shard"})) == rows_of(grown[[*key, "shard"]])
 
 
+def test_sharding_of_crowded_keys(spark):
+    """A third of all rows without an id, a third of one id and text."""
+    rows = [(k, f"text {k}") for k in range(400)] + [(None, f"none {k % 150}") for k in range(400)] + [(77, "same")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    plain = sharding.assign_shards(df, [1.0] * 4).toPandas()
+    out = sharding.assign_shards(df, [1.0] * 4, hot_rows=50).toPandas()
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    columns = ["doc_id", "size", "text_crc32", "shard", "grown_shard"]
+    assert rows_of(out[columns]) == rows_of(plain[columns])
+    assert len(out) == 1200
+    one = sharding.assign_shards(df.where("doc_id = 77"), [1.0] * 4, hot_rows=50).toPandas()
+    assert one["shard"].nunique() == 1 and sorted(one.slot) == list(range(401))
+
+
 def test_sharding_follows_weights(spark):
     df = spark.range(20000).selectExpr("id AS doc_id", "'x' AS text")
     n = sharding.assign_shards(df, [1.0, 2.0, 0.0, 5.0]).groupBy("shard").count().toPandas().set_index("shard")["count"]
