@@ -26,7 +26,7 @@ blocks of bits, so shards are made of content:
     each stays.
 
 At this radius the edges of a BK-tree exclude hardly any node, so a tree costs about
-as much as comparing with each of its 128 nodes; its size bounds the work, not its
+as much as comparing with each of its 512 nodes; its size bounds the work, not its
 edges.
 
 Defined results
@@ -60,7 +60,7 @@ FINER = 8
 RADIUS = 24
 #: By how much an estimate must be below the threshold to decide: over five standard errors.
 MARGIN = 0.1
-SHARD_LIMIT = 128
+SHARD_LIMIT = 512
 
 _rng = np.random.default_rng(52)
 _FACTORS = _rng.integers(0, 1 << 63, 2 * BANDS + FINER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
