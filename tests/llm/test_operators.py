@@ -130,6 +130,16 @@ def brute_fingerprint(text, k):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs))
 
 
+def test_fingerprint_of_a_long_text():
+    rnd = random.Random(6)
+    text = " ".join(f"w{rnd.randrange(5000)}" for _ in range(2 * simhash.SLICE + 77))
+    assert simhash.fingerprint(encoded(text)) == brute_fingerprint(text, 3)
+    words = encoded(text).split()
+    sets = np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + 5]), 42) for i in range(len(words) - 4)], np.uint64))
+    assert (similar.shingle_set(encoded(text)) == sets).all()
+    assert similar.fingerprint(sets) == sum(1 << b for b in range(64) if int((sets >> np.uint64(b) & np.uint64(1)).sum()) * 2 > len(sets))
+
+
 @pytest.mark.parametrize("limit", [512, 4])
 def test_near_duplicates(docs, rows, limit):
     fps = [brute_fingerprint(t, 3) for _, t in rows]
@@ -661,6 +671,19 @@ def test_repeated_bytes_of_many_equal_rows(spark):
     same(suffixdedup.repeated_bytes(df, sort_rows=10).collect(), [(r[0], *want[r]) for r in rows])
 
 
+def test_repeated_bytes_across_segments(spark):
+    """A text longer than a segment, with a passage that lies on the border of two."""
+    rnd = random.Random(12)
+    noise = lambda n: "".join(rnd.choices("abcdefghijklmnop", k=n))
+    passage = "#" + noise(298) + "#"
+    edge = suffixdedup.SEGMENT
+    text = noise(1000) + "1" + passage + "2" + noise(edge - 1302 - 151) + "3" + passage + "4" + noise(5000) + "5" + passage
+    assert text.index("3#") + 1 == edge - 150
+    rows = [(1, text), (2, "6" + passage + "7"), (3, passage[:120]), (4, passage[:99])]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffixdedup.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (len(text), 600, 2), 2: (302, 300, 1), 3: (120, 120, 1), 4: (99, 0, 0)}
+
+
 def test_suffix_ranks():
     rnd = np.random.default_rng(3)
     rows = rnd.integers(97, 99, (60, 64)).astype(np.uint8)
