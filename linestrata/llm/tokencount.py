@@ -43,7 +43,6 @@ class MergeCounter(dict):
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.rank: dict[str, float] = {}
-        self.fallback = True
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i):

@@ -585,6 +585,40 @@ def test_packing_respects_every_capacity(rule):
         packing.pack(np.array([201]), capacity)
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_packing_against_plain_best_fit(rule):
+    """Each piece, longest first, in the open bin of the best score; every capacity turns some bin down."""
+    lengths = np.random.default_rng(5).integers(1, 101, 300)
+    capacity = packing.Capacity(tokens=140, documents=3, attention=11000, weights=(1.0, 0.5, 0.7), rule=rule)
+    caps = (140.0, 3.0, 11000.0)
+    scale = [w / c for w, c in zip(capacity.weights, caps)]
+    bins, refused = [], Counter()
+    for size in sorted(lengths.tolist(), reverse=True):
+        demand = (size, 1, size * size)
+        best = None
+        for b in bins:
+            over = [k for k in range(3) if b["left"][k] < demand[k]]
+            refused.update(over if len(over) == 1 else ())
+            if over:
+                continue
+            if rule == "dot":
+                score = -sum(x * d * f * f for x, d, f in zip(b["left"], demand, scale))
+            else:
+                score = sum(((x - d) * f) ** 2 for x, d, f in zip(b["left"], demand, scale))
+            if best is None or score < best[0] - 1e-12:
+                best = (score, b)
+        if best is None:
+            best = (0, {"left": list(caps), "own": []})
+            bins.append(best[1])
+        best[1]["own"].append(size)
+        best[1]["left"] = [x - d for x, d in zip(best[1]["left"], demand)]
+    assert set(refused) == {0, 1, 2}
+    placed, _ = packing.pack(lengths, capacity)
+    got = sorted(sorted(lengths[placed == b].tolist()) for b in set(placed.tolist()))
+    assert abs(len(got) - len(bins)) <= 1  # ties may fall either way
+    assert sum(x in [sorted(b["own"]) for b in bins] for x in got) > 0.6 * len(got)
+
+
 def test_packing_encodes_like_the_library():
     import public_tokenizers
     from tokenizers import Tokenizer
