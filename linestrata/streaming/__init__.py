@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linestrata.operators.candidates import reduce_lines
+from linestrata.operators.candidates import is_one_of, reduce_lines
 from linestrata.operators.vocabulary import with_derived
 from linestrata.operators.tokenize import tokenize
 from linestrata.plans.config import MinerConfig
@@ -23,5 +23,5 @@ def label_stream(lines: DataFrame, words: list[str], clusters: DataFrame, config
     """
     tokenized = with_derived(tokenize(lines, config), config)
     keys = clusters.select(F.col("words").alias("pattern_words")).distinct()
-    reduced = reduce_lines(tokenized, None, words, config.derives)
+    reduced = reduce_lines(tokenized, None, is_one_of(words), config.derives)
     return reduced.join(keys, (F.col("k") > 0) & (F.col("words") == F.col("pattern_words")), "left").select("line_id", "value", F.col("pattern_words").alias("words"))

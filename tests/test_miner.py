@@ -243,3 +243,42 @@ def test_lines_are_labelled_as_a_stream(spark, tmp_path):
     q = labelled.writeStream.format("memory").queryName("labelled").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {r["value"]: r["words"] for r in spark.table("labelled").collect()} == {"pump p9 stopped": ["pump", "stopped"], "something else": None}
+
+
+@pytest.fixture
+def no_small_sides(spark):
+    """The optimizer takes no side of a join for small by itself, as it does with large input."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def joins_of(df, kind):
+    return {line.split("Join")[0].split()[-1] for line in plan_of(df).splitlines() if kind in line and "Join" in line}
+
+
+ODD_WORDS = ["a b  a", " a b", "", " ", "b ééééééééé a:1", "a:2 a:3 ééééééééé", "q r s", "a\nb x", "a\nb y", None] + RACKS
+
+
+@pytest.mark.parametrize("derived", [False, True])
+def test_words_of_a_table_need_no_shuffle(spark, no_small_sides, derived):
+    found = []
+    for options in ({}, {"inline_words": 0}, {"inline_words": 0, "table_bytes": 0}):
+        with mine(log(spark, ODD_WORDS * 2), MinerConfig(support=3, **options, **(RULE if derived else {}))) as m:
+            shuffles = plan_of(m.reduced).count("Exchange hashpartitioning")
+            assert (shuffles > 0) == ("table_bytes" in options)
+            found.append(sorted(map(repr, m.reduced.select("line_id", "value", "words", "gaps", "tail", "k").collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 2 * len(ODD_WORDS)
+
+
+def test_a_table_of_many_words(spark):
+    lines = [f"w{n} once{n} v{n * 7919 % 5000}" for n in range(5000)] * 2
+    m = mine(log(spark, lines), MinerConfig(support=3, inline_words=0))
+    assert m.reduced.where("k > 0").count() == 0
+    m = mine(log(spark, lines + [f"w{n} x{n}" for n in range(5000)]), MinerConfig(support=3, inline_words=0))
+    assert m.frequent_words.count() == 5000 and m.reduced.where("k = 1 and words[0] like 'w%'").count() == 15000
