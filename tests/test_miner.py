@@ -282,3 +282,22 @@ def test_a_table_of_many_words(spark):
     assert m.reduced.where("k > 0").count() == 0
     m = mine(log(spark, lines + [f"w{n} x{n}" for n in range(5000)]), MinerConfig(support=3, inline_words=0))
     assert m.frequent_words.count() == 5000 and m.reduced.where("k = 1 and words[0] like 'w%'").count() == 15000
+
+
+@pytest.mark.parametrize("options", [{}, {"aggrsup": True}, {"wweight": 0.5}, {"cluster_sketch_size": 50}])
+def test_only_sequences_of_several_lines_meet(spark, monkeypatch, options):
+    """With many words, lines with a sequence of their own are candidates without a shuffle."""
+    from linestrata.operators import candidates as c
+
+    lines = random_log(random.Random(5)) + [f"one{n} pump two{n} three" for n in range(30)] + [f"one{n} two{n}" for n in range(30)] * 2 + PUMPS * 3 + ["", " "]
+    expected = model.mine(lines, 3, **{k: x for k, x in options.items() if k != "cluster_sketch_size"})
+    plain = mine(log(spark, lines), MinerConfig(support=3, **options))
+    listed = sorted(map(repr, plain.candidates.collect()))
+    shaped, shapes = [], c.shapes
+    monkeypatch.setattr(c, "shapes", lambda *a: shaped.append(shapes(*a)) or shaped[-1])
+    m = mine(log(spark, lines), MinerConfig(support=3, inline_words=0, **options))
+    assert sorted(map(repr, m.candidates.collect())) == listed
+    if not options:
+        shared = m.reduced.where("k > 0").groupBy("words").count().where("count > 1").count()
+        assert shaped[0].select("words").distinct().count() == shared < len(listed)
+    assert run(spark, lines, support=3, inline_words=0, **options) == (expected["patterns"], expected["outliers"])
