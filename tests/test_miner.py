@@ -301,3 +301,5 @@ def test_only_sequences_of_several_lines_meet(spark, monkeypatch, options):
         shared = m.reduced.where("k > 0").groupBy("words").count().where("count > 1").count()
         assert shaped[0].select("words").distinct().count() == shared < len(listed)
     assert run(spark, lines, support=3, inline_words=0, **options) == (expected["patterns"], expected["outliers"])
+    if not options:  # clusters don't need the other candidates
+        assert shaped[-1].groupBy("words").sum("n").where("`sum(n)` < 3").count() == 0
