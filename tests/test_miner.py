@@ -303,3 +303,10 @@ def test_only_sequences_of_several_lines_meet(spark, monkeypatch, options):
     assert run(spark, lines, support=3, inline_words=0, **options) == (expected["patterns"], expected["outliers"])
     if not options:  # clusters don't need the other candidates
         assert shaped[-1].groupBy("words").sum("n").where("`sum(n)` < 3").count() == 0
+
+
+@pytest.mark.parametrize("inline", [20_000, 0])
+def test_lines_dont_move_to_meet_patterns(spark, no_small_sides, inline):
+    m = mine(log(spark, PUMPS * 5), MinerConfig(support=10, inline_words=inline))
+    assert joins_of(m.outliers, "LeftAnti") == {"BroadcastHash"}
+    assert {r["value"] for r in m.outliers.collect()} == {"pump p0 stopped", "pump p0 running"}
