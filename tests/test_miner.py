@@ -310,3 +310,20 @@ def test_lines_dont_move_to_meet_patterns(spark, no_small_sides, inline):
     m = mine(log(spark, PUMPS * 5), MinerConfig(support=10, inline_words=inline))
     assert joins_of(m.outliers, "LeftAnti") == {"BroadcastHash"}
     assert {r["value"] for r in m.outliers.collect()} == {"pump p0 stopped", "pump p0 running"}
+
+
+@pytest.mark.parametrize("keys", [4_000_000, 0])
+@pytest.mark.parametrize("sketch", ["word_sketch_size", "cluster_sketch_size"])
+def test_rows_of_one_slot_stay_where_they_are(spark, no_small_sides, monkeypatch, keys, sketch):
+    """Words of every line, all in one slot, would all come to one task."""
+    from linestrata.operators import vocabulary as v
+
+    monkeypatch.setattr(v, "MAX_KEYS", keys)
+    lines = [f"every line has {n % 3} u{n}" for n in range(60)]
+    plain = mine(log(spark, lines), MinerConfig(support=10))
+    for size in (1, 1000):
+        m = mine(log(spark, lines), MinerConfig(support=10, **{sketch: size}))
+        frame = m.vocabulary if sketch == "word_sketch_size" else m.candidates
+        assert ("BroadcastHash" in joins_of(frame, "LeftSemi")) == bool(keys)
+        assert sorted(map(tuple, m.frequent_words.collect())) == sorted(map(tuple, plain.frequent_words.collect()))
+        assert sorted(map(repr, m.clusters.collect())) == sorted(map(repr, plain.clusters.collect()))
